@@ -70,15 +70,15 @@ def b2(t: Tables):
 
 
 @query("b3_column_blocks", "wide", """
-    SELECT 'targets' AS block, SUM("click" + "error") AS total FROM wide
-    UNION ALL SELECT 'predictors', SUM("purchase" + "signup") FROM wide
-    UNION ALL SELECT 'others', SUM("view") FROM wide""")
+    SELECT 'targets' AS block, ROUND(SUM("click" + "error"), 2) AS total FROM wide
+    UNION ALL SELECT 'predictors', ROUND(SUM("purchase" + "signup"), 2) FROM wide
+    UNION ALL SELECT 'others', ROUND(SUM("view"), 2) FROM wide""")
 def b3(t: Tables):
     blocks = frame.column_blocks(t.wide.drop("ts").columns, slice(0, 2), slice(2, 4))
     long = reshape.to_long(t.wide, [], EVENT_TYPES)
     block = F.when(F.col("name").isin(blocks["targets"]), "targets").when(
         F.col("name").isin(blocks["predictors"]), "predictors").otherwise("others")
-    return agg.total_by(long.withColumn("block", block), ["block"])
+    return agg.total_by(long.withColumn("block", block), ["block"]).withColumn("total", F.round("total", 2))
 
 
 @query("b4_rename", "panel", "SELECT entity AS station, ts AS day, value FROM panel")
@@ -242,20 +242,17 @@ def e2(t: Tables):
     return joins.inner_join_named(t.panel, dim, "entity", "stid").select("entity", "ts", "value", "elev")
 
 
-@query("e3_lookup_dim", "panel dim", """SELECT entity, mean, lat, lon, elev FROM
-    (SELECT entity, ROUND(AVG(value), 4) AS mean FROM panel GROUP BY entity) LEFT JOIN dim USING (entity)""")
+@query("e3_lookup_dim", "cents dim", """SELECT entity, mean, lat, lon, elev FROM
+    (SELECT entity, AVG(value) AS mean FROM cents GROUP BY entity) LEFT JOIN dim USING (entity)""")
 def e3(t: Tables):
-    mean = t.panel.groupBy("entity").agg(F.round(F.avg("value"), 4).alias("mean"))
-    return joins.lookup_dim(mean, t.dim)
+    return joins.lookup_dim(agg.mean_by(t.cents, ["entity"]), t.dim)
 
 
-@query("e4_merge_stats", "panel", """SELECT entity, ROUND(AVG(value), 4) AS mean, ROUND(stddev_samp(value), 4) AS sd,
-    COUNT(*) AS n FROM panel GROUP BY entity""")
+@query("e4_merge_stats", "cents", """SELECT entity, AVG(value) AS mean, ROUND(stddev_samp(value), 2) AS sd,
+    COUNT(*) AS n FROM cents GROUP BY entity""")
 def e4(t: Tables):
-    g = t.panel.groupBy("entity")
-    return joins.merge_stats(
-        [g.agg(F.round(F.avg("value"), 4).alias("mean")), g.agg(F.round(F.stddev_samp("value"), 4).alias("sd")),
-         agg.count_by(t.panel, ["entity"])], "entity")
+    sd = t.cents.groupBy("entity").agg(F.round(F.stddev_samp("value"), 2).alias("sd"))
+    return joins.merge_stats([agg.mean_by(t.cents, ["entity"]), sd, agg.count_by(t.cents, ["entity"])], "entity")
 
 
 @query("e5_zip_by_key", "total daily", "SELECT ts, value, d_qty, d_lines FROM total JOIN daily USING (ts)")
@@ -299,32 +296,28 @@ def f1(t: Tables):
     return agg.total_by(t.panel.withColumn("year", F.year("ts")), ["entity", "year"]).withColumn("total", F.round("total", 2))
 
 
-@query("f2_mean_by", "panel", "SELECT ts, ROUND(AVG(value), 4) AS mean FROM panel GROUP BY 1")
+@query("f2_mean_by", "cents", "SELECT ts, AVG(value) AS mean FROM cents GROUP BY 1")
 def f2(t: Tables):
-    return agg.mean_by(t.panel, ["ts"]).withColumn("mean", F.round("mean", 4))
+    return agg.mean_by(t.cents, ["ts"])
 
 
 def _profile_sql(suffix: str, last: bool) -> str:
     s = suffix
-    return f"""SELECT entity, ROUND(AVG(value), 4) AS mean{s}, ROUND(stddev_samp(value), 4) AS sd{s},
-      ROUND(quantile_cont(value, 0.25), 4) AS q25{s}, ROUND(quantile_cont(value, 0.5), 4) AS q50{s},
-      ROUND(quantile_cont(value, 0.75), 4) AS q75{s}, MAX(value) AS max{s}, MIN(value) AS min{s},
+    return f"""SELECT entity, AVG(value) AS mean{s}, ROUND(stddev_samp(value), 2) AS sd{s},
+      quantile_cont(value, 0.25) AS q25{s}, quantile_cont(value, 0.5) AS q50{s},
+      quantile_cont(value, 0.75) AS q75{s}, MAX(value) AS max{s}, MIN(value) AS min{s},
       arg_min(value, ts) AS first{s}{", arg_max(value, ts) AS last" if last else ""}"""
 
 
-def _rounded(df, suffix=""):
-    return df.withColumns({f"{c}{suffix}": F.round(f"{c}{suffix}", 4) for c in ("mean", "sd", "q25", "q50", "q75")})
-
-
-@query("f3_entity_profile", "panel", _profile_sql("", True) + " FROM panel GROUP BY entity")
+@query("f3_entity_profile", "cents", _profile_sql("", True) + " FROM cents GROUP BY entity")
 def f3(t: Tables):
-    return _rounded(agg.entity_profile(t.panel))
+    return agg.entity_profile(t.cents).withColumn("sd", F.round("sd", 2))
 
 
-@query("f4_entity_profile_latest_year", "panel", _profile_sql("_last_year", False) +
-       " FROM panel WHERE year(ts) = (SELECT year(MAX(ts)) FROM panel) GROUP BY entity")
+@query("f4_entity_profile_latest_year", "cents", _profile_sql("_last_year", False) +
+       " FROM cents WHERE year(ts) = (SELECT year(MAX(ts)) FROM cents) GROUP BY entity")
 def f4(t: Tables):
-    return _rounded(agg.entity_profile_latest_year(t.panel), "_last_year")
+    return agg.entity_profile_latest_year(t.cents).withColumn("sd_last_year", F.round("sd_last_year", 2))
 
 
 @query("f5_last_value_by", "panel", "SELECT entity, arg_max(value, ts) AS last FROM panel GROUP BY entity")
@@ -395,11 +388,11 @@ def _centered_sql(width: int, src: str, key: str) -> str:
 
 
 @query("g3_centered_mean", "dense", f""", a AS ({_centered_sql(365, 'dense', 'entity')}), b AS ({_centered_sql(30, 'dense', 'entity')})
-    SELECT a.entity, a.ts, ROUND(a.trend, 3) AS trend, ROUND(b.trend, 3) AS trend_even FROM a JOIN b USING (entity, ts)""")
+    SELECT a.entity, a.ts, a.trend, b.trend AS trend_even FROM a JOIN b USING (entity, ts)""")
 def g3(t: Tables):
     odd = window.centered_mean(t.dense, 365)
     even = window.centered_mean(odd, 30, name="trend_even")
-    return even.select("entity", "ts", F.round("trend", 3).alias("trend"), F.round("trend_even", 3).alias("trend_even"))
+    return even.select("entity", "ts", "trend", "trend_even")
 
 
 @query("g4_row_index", "panel", """SELECT entity, ts, value, DENSE_RANK() OVER (ORDER BY ts) AS idx FROM panel""")
@@ -583,9 +576,9 @@ def v5(t: Tables):
     return geo.neighbor_listing(geo.neighbor_join(geo.project_mercator(t.dim), 150_000.0), 5)
 
 
-@query("v6_position_table", "panel dim", """SELECT how, entity, ROUND(value, 4) AS value, lat, lon, elev FROM (
-      SELECT 'last' AS how, entity, arg_max(value, ts) AS value FROM panel GROUP BY entity
-      UNION ALL SELECT 'mean', entity, AVG(value) FROM panel GROUP BY entity) LEFT JOIN dim USING (entity)""")
+@query("v6_position_table", "cents dim", """SELECT how, entity, value, lat, lon, elev FROM (
+      SELECT 'last' AS how, entity, arg_max(value, ts) AS value FROM cents GROUP BY entity
+      UNION ALL SELECT 'mean', entity, AVG(value) FROM cents GROUP BY entity) LEFT JOIN dim USING (entity)""")
 def v6(t: Tables):
-    both = [geo.position_table(t.panel, t.dim, how).withColumn("how", F.lit(how)) for how in ("last", "mean")]
-    return both[0].unionByName(both[1]).withColumn("value", F.round("value", 4))
+    both = [geo.position_table(t.cents, t.dim, how).withColumn("how", F.lit(how)) for how in ("last", "mean")]
+    return both[0].unionByName(both[1])

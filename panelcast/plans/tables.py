@@ -38,16 +38,21 @@ class Tables:
 
     @cached_property
     def total(self) -> DataFrame:
-        """One row per day over all suppliers."""
-        return (
-            self.lineitem.groupBy(F.to_date("l_shipdate").alias("ts"))
-            .agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+        """One row per day over all suppliers, in hundredths."""
+        return self.lineitem.groupBy(F.to_date("l_shipdate").alias("ts")).agg(
+            F.round(F.sum("l_extendedprice") * 100).alias("value")
         )
 
     @cached_property
     def dense(self) -> DataFrame:
-        """Two long gap-free series: entity = line status."""
-        return self._daily(F.col("l_linestatus").alias("entity"))
+        """Two long gap-free series in hundredths: entity = line status."""
+        daily = self._daily(F.col("l_linestatus").alias("entity"))
+        return daily.withColumn("value", F.round(F.col("value") * 100))
+
+    @cached_property
+    def cents(self) -> DataFrame:
+        """The panel in hundredths: whole numbers, so sums do not depend on their order."""
+        return self.panel.withColumn("value", F.round(F.col("value") * 100))
 
     def _daily(self, entity) -> DataFrame:
         return self.lineitem.groupBy(entity, F.to_date("l_shipdate").alias("ts")).agg(
@@ -137,10 +142,11 @@ class Tables:
 CTE = {
     "panel": """SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS ts,
         ROUND(SUM(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1, 2""",
-    "total": """SELECT CAST(l_shipdate AS DATE) AS ts, ROUND(SUM(l_extendedprice), 2) AS value
+    "total": """SELECT CAST(l_shipdate AS DATE) AS ts, ROUND(SUM(l_extendedprice) * 100) AS value
         FROM lineitem GROUP BY 1""",
     "dense": """SELECT l_linestatus AS entity, CAST(l_shipdate AS DATE) AS ts,
-        ROUND(SUM(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1, 2""",
+        ROUND(ROUND(SUM(l_extendedprice), 2) * 100) AS value FROM lineitem GROUP BY 1, 2""",
+    "cents": "SELECT entity, ts, ROUND(value * 100) AS value FROM panel",
     "ev": """SELECT event_type AS entity, CAST(ts AS DATE) AS ts, ROUND(SUM(value), 2) AS value
         FROM events GROUP BY 1, 2""",
     "wide": "SELECT ts, " + ", ".join(
@@ -165,7 +171,7 @@ CTE = {
         FROM supplier""",
     "emb": """SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings""",
 }
-NEEDS = {"wide": ["ev"]}
+NEEDS = {"wide": ["ev"], "cents": ["panel"]}
 
 
 def with_views(names: str, body: str) -> str:
