@@ -31,12 +31,18 @@ def gram(
     """
     by, cols = list(by), list(cols)
     shift = [0.0] * len(cols) if shift is None else [float(s) for s in shift]
-    data = df.select(
-        *by,
-        *[(F.col(c).cast("double") - F.lit(s)).alias(f"_{k + 1}") for k, (c, s) in enumerate(zip(cols, shift))],
-        *([F.col(weight).cast("double").alias("_w")] if weight else []),
-    ).dropna(subset=[f"_{k + 1}" for k in range(len(cols))])
-    return _gram_narrow(data, by, len(cols), weight) if len(cols) <= NARROW else _gram_wide(data, by, len(cols), weight)
+    x = [F.col(c).cast("double") - F.lit(s) if s else F.col(c).cast("double") for c, s in zip(cols, shift)]
+    w = [F.col(weight).cast("double").alias("_w")] if weight else []
+    if len(cols) > NARROW:
+        return _gram_wide(df.select(*by, *w, F.array(*x).alias("_x")), by, len(cols), weight)
+    data = df.select(*by, *w, *[c.alias(f"_{k + 1}") for k, c in enumerate(x)])
+    return _gram_narrow(data.dropna(subset=[f"_{k + 1}" for k in range(len(cols))]), by, len(cols), weight)
+
+
+def gram_of_vector(df: DataFrame, vec: str, size: int, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """The same for an array<double> column of ``size`` elements."""
+    w = [F.col(weight).cast("double").alias("_w")] if weight else []
+    return _gram_wide(df.select(*by, *w, F.col(vec).alias("_x")), list(by), size, weight)
 
 
 def _gram_narrow(data: DataFrame, by: list[str], p: int, weight) -> DataFrame:
@@ -55,7 +61,6 @@ def _gram_wide(data: DataFrame, by: list[str], p: int, weight) -> DataFrame:
     schema = T.StructType(
         [data.schema[b] for b in by] + [T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))]
     )
-    names = [f"_{k + 1}" for k in range(p)]
     keep = max(1, CELL_BUDGET // ((p + 1) ** 2))
 
     def rows(held: dict) -> Iterator[pd.DataFrame]:
@@ -66,8 +71,13 @@ def _gram_wide(data: DataFrame, by: list[str], p: int, weight) -> DataFrame:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.vstack(pdf["_x"].to_numpy()).astype(float)
+            whole = ~np.isnan(x).any(axis=1)
+            pdf, x = pdf[whole].reset_index(drop=True), x[whole]
+            x = np.column_stack([np.ones(len(x)), x])
             groups = pdf.groupby(by, sort=False, dropna=False).indices.items() if by else [((), np.arange(len(pdf)))]
-            x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=float)])
             w = pdf["_w"].to_numpy(dtype=float) if weight else None
             for key, at in groups:
                 key = key if isinstance(key, tuple) else (key,)

@@ -94,9 +94,10 @@ def k6(t: Tables):
 
 @query("l1_histogram", "panel", """, r AS (SELECT MIN(value) AS lo, (MAX(value) - MIN(value)) / 30 AS w FROM panel),
     b AS (SELECT entity, CAST(least(29, floor((value - lo) / w)) AS INTEGER) AS bin, lo, w FROM panel, r),
-    g AS (SELECT 'each' AS facet, entity, bin, lo, w, COUNT(*) AS count, SUM(COUNT(*)) OVER (PARTITION BY entity) AS n FROM b GROUP BY ALL
-          UNION ALL SELECT 'all', NULL, bin, lo, w, COUNT(*), SUM(COUNT(*)) OVER () FROM b GROUP BY ALL)
-    SELECT facet, entity, bin, ROUND(lo + bin * w, 6) AS "left", count, ROUND(count / (n * w) * 1e6, 6) AS density FROM g""")
+    c AS (SELECT 'each' AS facet, entity, bin, lo, w, COUNT(*) AS count FROM b GROUP BY 2, 3, 4, 5
+          UNION ALL SELECT 'all', NULL, bin, lo, w, COUNT(*) FROM b GROUP BY 3, 4, 5)
+    SELECT facet, entity, bin, ROUND(lo + bin * w, 6) AS "left", count,
+      ROUND(count / (SUM(count) OVER (PARTITION BY facet, entity) * w) * 1e6, 6) AS density FROM c""")
 def l1(t: Tables):
     whole = dist.histogram(t.panel, "value", 30).withColumn("facet", F.lit("all"))
     each = dist.histogram(t.panel, "value", 30, ["entity"]).withColumn("facet", F.lit("each"))
@@ -236,9 +237,7 @@ def n0(t: Tables):
     SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, ROUND(SUM(a.v * b.v), 6) AS s FROM e a JOIN e b
     ON a.vec_id = b.vec_id AND a.k <= b.k GROUP BY 1, 2""")
 def n0b(t: Tables):
-    cols = [f"e{k}" for k in range(EMB_DIM)]
-    df = t.emb.select(*[F.col("vec")[k].alias(c) for k, c in enumerate(cols)])
-    return rounded(moments.gram(df, cols).where("i > 0"), 6, "s")
+    return rounded(moments.gram_of_vector(t.emb, "vec", EMB_DIM).where("i > 0"), 6, "s")
 
 
 def _corr_union(cols: list[str], src: str, upper: bool = False) -> str:
