@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.session import cut_lineage
 
 
-def _month(ts: str) -> Column:
-    return F.year(ts) * 12 + F.month(ts)
+def _stretch(df: DataFrame, ts: str) -> Column:
+    """Calendar stretch that holds few rows of one series: a year of days, or a day of timestamps."""
+    return F.year(ts) if isinstance(df.schema[ts].dataType, T.DateType) else F.to_date(ts)
 
 
 def row_index(df: DataFrame, ts: str = "ts", name: str = "idx") -> DataFrame:
@@ -36,18 +38,18 @@ def date_index(df: DataFrame, ts: str = "ts", name: str = "idx") -> DataFrame:
 
 
 def entity_index(df: DataFrame, entity: Sequence[str], ts: str = "ts", name: str = "idx") -> DataFrame:
-    """1-based row number per entity in date order: within each month, plus the rows of earlier months."""
+    """1-based row number per entity in date order: within a calendar stretch, plus all earlier ones."""
     keys = list(entity)
-    tagged = df.withColumn("_ym", _month(ts))
-    months = tagged.groupBy(*keys, "_ym").agg(F.count("*").alias("_m"))
-    before = W.partitionBy(*keys).orderBy("_ym").rowsBetween(W.unboundedPreceding, -1)
-    months = months.select(*keys, "_ym", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy(*keys, "_ym").orderBy(ts)
+    tagged = df.withColumn("_st", _stretch(df, ts))
+    sums = tagged.groupBy(*keys, "_st").agg(F.count("*").alias("_m"))
+    before = W.partitionBy(*keys).orderBy("_st").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_st", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    within = W.partitionBy(*keys, "_st").orderBy(ts)
     return (
         tagged.withColumn("_rn", F.row_number().over(within))
-        .join(months, [*keys, "_ym"])
+        .join(sums, [*keys, "_st"])
         .withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint"))
-        .drop("_ym", "_rn", "_before")
+        .drop("_st", "_rn", "_before")
     )
 
 

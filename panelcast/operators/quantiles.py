@@ -1,8 +1,10 @@
-"""Exact quantiles that never gather a group into one task.
+"""Exact quantiles that never gather a large group into one task.
 
-The built-in ``percentile`` keeps every distinct value of a group in one aggregation buffer, so one
-group with a third of the rows would not fit. Here a bounded sketch only brackets each requested order
-statistic; counts decide exactly where it lies, and only the values of the cell that holds it are ranked.
+The built-in ``percentile`` keeps every distinct value of a group in one aggregation buffer. It is used
+for groups whose measured size fits a task. Larger groups are spread: rows are counted in cells along
+the value axis, the counts say exactly which cells hold the wanted order statistics, and only the values
+of those cells are ranked. The cells lie inside narrow brackets taken from a bounded sketch, so that
+skewed values cannot crowd one cell; the sketch only places cells, it never decides a result.
 """
 
 from __future__ import annotations
@@ -13,91 +15,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SMALL_GROUP = 20_000  # up to here the bracket is simply [min, max]
+from panelcast.session import cut_lineage
+
+TASK_ROWS = 100_000  # a group up to this size is handled by one task
 ACCURACY = 2_000  # sketch rank error = n / ACCURACY
 MARGIN = 3.0 / ACCURACY
-CELLS = 1024  # counting cells inside a bracket
+CELLS = 1024  # cells between two neighbouring edges
+BROADCAST_GROUPS = 10_000  # edge tables up to this many large groups are sent to every task
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], names: Sequence[str]
+    df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], names: Sequence[str], task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """Quantiles with linear interpolation between order statistics; one row per group."""
+    """Quantiles with linear interpolation between order statistics; one row per group.
+
+    Starts with one counting job, whose result decides how groups are handled.
+    """
     by = list(by)
     keys = by or ["_all"]
     base = df.select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(col).cast("double").alias("_x"))
     base = base.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    inner = sorted({q for p in probs for q in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))})
+    sizes = base.groupBy(*keys).agg(F.count("*").alias("_n"))
+    fits = F.col("_n") <= task_rows
+    small, big = sizes.agg(F.count_if(fits), F.count_if(~fits)).first()
+    if big == 0:
+        out = _in_task(base, keys, probs, names)
+    elif small == 0:
+        out = _spread(base, keys, probs, names, big)
+    else:
+        part = lambda cond: base.join(sizes.where(cond).select(*keys), keys, "left_semi")
+        out = _in_task(part(fits), keys, probs, names).unionByName(_spread(part(~fits), keys, probs, names, big))
+    return out if by else out.drop("_all")
+
+
+def _in_task(base: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    q = base.groupBy(*keys).agg(F.percentile("_x", [float(p) for p in probs]).alias("_q"))
+    return q.select(*keys, *[F.col("_q")[j].alias(n) for j, n in enumerate(names)])
 
-    spec = F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("j"),
-                _edge(inner, max(p - MARGIN, 0.0), "_min").alias("lo"),
-                _edge(inner, min(p + MARGIN, 1.0), "_max").alias("hi"),
-                F.floor((F.col("_n") - 1) * F.lit(float(p))).alias("k"),
-                ((F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p)))).alias("frac"),
-            )
-            for j, p in enumerate(probs)
-        ]
-    )
-    frame = (
-        base.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.min("_x").alias("_min"),
-            F.max("_x").alias("_max"),
-            F.percentile_approx("_x", [float(q) for q in inner], ACCURACY).alias("_q"),
-        )
-        .select(*keys, "_n", spec.alias("_spec"))
-    )
 
-    # cell of every value in every bracket: 0 below, 1..CELLS inside; values above need no count
-    span = F.col("s.hi") - F.col("s.lo")
-    cell = (
-        F.when(F.col("_x") < F.col("s.lo"), 0)
-        .when(span > 0, F.least(F.lit(CELLS), 1 + F.floor((F.col("_x") - F.col("s.lo")) / span * CELLS)))
-        .otherwise(1)
-        .cast("int")
+def _spread(base: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str], groups: int) -> DataFrame:
+    around = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)})
+    frame = base.groupBy(*keys).agg(
+        F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.percentile_approx("_x", around, ACCURACY).alias("_q")
     )
+    frame = cut_lineage(frame.select(*keys, F.concat(F.array("_min"), "_q", F.array("_max")).alias("_e")))
+    if groups <= BROADCAST_GROUPS:
+        frame = F.broadcast(frame)
+
+    # interval = number of edges at or below x, cell = position inside the interval; both grow with x
+    interval = sum((F.when(F.col("_x") >= F.get("_e", F.lit(i)), 1).otherwise(0) for i in range(len(around) + 2)), F.lit(0))
+    lo, hi = F.get("_e", F.col("_i") - 1), F.get("_e", F.col("_i"))
+    inside = F.when(hi > lo, F.least(F.lit(CELLS - 1), F.floor((F.col("_x") - lo) / (hi - lo) * CELLS))).otherwise(0)
     placed = (
         base.join(frame, keys)
-        .select(*keys, "_x", F.explode("_spec").alias("s"))
-        .where(F.col("_x") <= F.col("s.hi"))
-        .select(*keys, "_x", F.col("s.j").alias("_j"), F.col("s.k").alias("_k"), F.col("s.frac").alias("_f"), cell.alias("_c"))
-    )
-    counts = placed.groupBy(*keys, "_j", "_k", "_f", "_c").agg(F.count("*").alias("_m"))
-    running = W.partitionBy(*keys, "_j").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    hit = (
-        counts.withColumn("_before", F.coalesce(F.sum("_m").over(running), F.lit(0)))
-        .where(
-            ((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_m")))
-            | ((F.col("_before") <= F.col("_k") + 1) & (F.col("_k") + 1 < F.col("_before") + F.col("_m")))
-        )
-        .select(*keys, "_j", "_c", "_before")
-    )
-    values = (
-        placed.join(hit, [*keys, "_j", "_c"])
-        .groupBy(*keys, "_j", "_k", "_f", "_c", "_before", "_x")
-        .agg(F.count("*").alias("_m"))
-    )
-    upto = W.partitionBy(*keys, "_j", "_c").orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = values.withColumn("_end", F.col("_before") + F.sum("_m").over(upto)).withColumn(
-        "_start", F.col("_end") - F.col("_m")
+        .select(*keys, "_x", "_e", interval.alias("_i"))
+        .select(*keys, "_x", (F.col("_i") * CELLS + F.coalesce(inside, F.lit(0))).cast("int").alias("_c"))
     )
-    at = lambda k: (F.col("_start") <= k) & (k < F.col("_end"))
-    low = F.max(F.when(at(F.col("_k")), F.col("_x")))
-    high = F.coalesce(F.max(F.when(at(F.col("_k") + 1), F.col("_x"))), low)
-    picked = ranked.groupBy(*keys, "_j", "_f").agg(low.alias("_lo"), high.alias("_hi"))
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
-    out = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_j") == j, value)).alias(n) for j, n in enumerate(names)]
-    )
-    return out if by else out.drop("_all")
 
+    counts = placed.groupBy(*keys, "_c").agg(F.count("*").alias("_m"))
+    group = W.partitionBy(*keys)
+    counts = counts.withColumns(
+        {
+            "_end": F.sum("_m").over(group.orderBy("_c").rowsBetween(W.unboundedPreceding, W.currentRow)),
+            "_n": F.sum("_m").over(group),
+        }
+    ).withColumn("_before", F.col("_end") - F.col("_m"))
+    rank = [F.floor((F.col("_n") - 1) * F.lit(float(p))) for p in probs]
+    within = lambda k, a, b: (F.col(a) <= k) & (k < F.col(b))
+    wanted = F.lit(False)
+    for k in rank:
+        wanted = wanted | within(k, "_before", "_end") | within(k + 1, "_before", "_end")
+    hit = counts.where(wanted).select(*keys, "_c", "_before", "_n")
 
-def _edge(inner: list[float], p: float, whole: str):
-    """Bracket edge: the group's extreme for small groups and outer edges, else the sketch value."""
-    if p in (0.0, 1.0):
-        return F.col("_min") if p == 0.0 else F.col("_max")
-    return F.when(F.col("_n") <= SMALL_GROUP, F.col(whole)).otherwise(F.col("_q")[inner.index(p)])
+    values = placed.join(hit, [*keys, "_c"]).groupBy(*keys, "_c", "_before", "_n", "_x").agg(F.count("*").alias("_m"))
+    upto = W.partitionBy(*keys, "_c").orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = values.withColumn("_hi", F.col("_before") + F.sum("_m").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_m"))
+    aggs = []
+    for j, k in enumerate(rank):
+        low = F.max(F.when(within(k, "_lo", "_hi"), F.col("_x")))
+        aggs += [low.alias(f"_a{j}"), F.coalesce(F.max(F.when(within(k + 1, "_lo", "_hi"), F.col("_x"))), low).alias(f"_b{j}")]
+    picked = ranked.groupBy(*keys, "_n").agg(*aggs)
+    return picked.select(
+        *keys,
+        *[
+            (F.col(f"_a{j}") + (F.col(f"_b{j}") - F.col(f"_a{j}")) * ((F.col("_n") - 1) * F.lit(float(p)) - rank[j])).alias(n)
+            for j, (p, n) in enumerate(zip(probs, names))
+        ],
+    )

@@ -48,7 +48,10 @@ def bin_column(xs: Sequence[str], edges: Sequence[Sequence[float]]) -> Column:
     def cut(v: pd.Series) -> pd.Series:
         m = np.vstack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, len(arrays)))
         out = np.column_stack([np.searchsorted(e, m[:, k], side="left") for k, e in enumerate(arrays)]).astype("int32")
-        return pd.Series([[None if np.isnan(a) else int(b) for a, b in zip(*r)] for r in zip(m, out)])
+        gaps = np.isnan(m)
+        if not gaps.any():
+            return pd.Series(list(out))
+        return pd.Series([np.where(g, None, o) for g, o in zip(gaps, out)])
 
     return F.pandas_udf(cut, T.ArrayType(T.IntegerType()))(F.array(*[F.col(x).cast("double") for x in xs]))
 
