@@ -17,7 +17,7 @@ from panelcast.operators.rank import top_k
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r and the number of complete pairs for i <= j: ``i, j, a, b, n, r``."""
     names = F.array(*[F.lit(c) for c in cols])
-    n = F.col("n")
+    n = F.nullif(F.col("n"), F.lit(0))  # a pair that never occurs together has no r
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n

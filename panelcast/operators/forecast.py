@@ -46,7 +46,7 @@ def forecast_recursive(
         .select(*keys, ts, F.lit(None).cast("double").alias("_v"), "_base", F.slice("coef", cut + 1, times).alias("_w"))
     )
 
-    def roll(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def roll(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable")
         known = pdf["_base"].isna().to_numpy()
         past, new = pdf.loc[known, "_v"].to_numpy(dtype=float), pdf[~known]

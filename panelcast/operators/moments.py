@@ -16,7 +16,8 @@ CELL_BUDGET = 4_000_000  # partial sums held per task before they are handed on
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> list[float]:
     """Column means as driver numbers (one per column); used to shift data before squaring it."""
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
+    row = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(known)]).first()
     return [float(v) if v is not None else 0.0 for v in row]
 
 
@@ -114,7 +115,7 @@ def per_group(cells: DataFrame, by: Sequence[str], solve, schema: T.StructType)
     full = T.StructType([src.schema[k] for k in keys] + list(schema.fields))
     out_names = [f.name for f in full.fields]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = solve(pdf)
         for n, k in enumerate(keys):
             out[k] = [key[n]] * len(out)
