@@ -12,22 +12,32 @@ from pyspark.sql import types as T
 from panelcast.session import cut_lineage
 
 
+BROADCAST_DATES = 500_000  # rows of (date, index, label)
+
+
 def _stretch(df: DataFrame, ts: str) -> Column:
     """Calendar stretch that holds few rows of one series: a year of days, or a day of timestamps."""
     return F.year(ts) if isinstance(df.schema[ts].dataType, T.DateType) else F.to_date(ts)
 
 
 def row_index(df: DataFrame, ts: str = "ts", name: str = "idx") -> DataFrame:
-    """1-based index of each date among the distinct dates, joined back to the rows.
+    """1-based index of each date among the distinct dates, joined back to the rows."""
+    return join_dates(df, date_index(df, ts, name), ts)
 
-    The index is built in two steps (within a year, plus the days of earlier years), so the only
-    window without a partition key runs over one row per calendar year.
-    """
-    return df.join(date_index(df, ts, name), ts)
+
+def join_dates(df: DataFrame, dates: DataFrame, ts: str = "ts") -> DataFrame:
+    """Attach a table with one row per date; it is sent to every task only if its count allows it."""
+    small = dates.count() <= BROADCAST_DATES
+    return df.join(F.broadcast(dates) if small else dates, ts)
 
 
 def date_index(df: DataFrame, ts: str = "ts", name: str = "idx") -> DataFrame:
-    dates = df.select(ts).where(F.col(ts).isNotNull()).distinct().withColumn("_y", F.year(ts))
+    """``(ts, idx)`` of the distinct dates, found in one pass and stored.
+
+    The index is built in two steps (within a year, plus the days of earlier years), so the only
+    window without a partition key runs over one row per calendar year.
+    """
+    dates = cut_lineage(df.select(ts).where(F.col(ts).isNotNull()).distinct()).withColumn("_y", F.year(ts))
     years = dates.groupBy("_y").agg(F.count("*").alias("_m"))
     before = W.orderBy("_y").rowsBetween(W.unboundedPreceding, -1)
     years = years.select("_y", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))

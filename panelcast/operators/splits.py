@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.ordering import date_index, join_dates
+
 
 def chrono_split(indexed: DataFrame, train: float = 0.7, val: float = 0.15, idx: str = "idx") -> DataFrame:
     """``split`` = train / val / test by row index; sizes are rounded half to even."""
@@ -25,6 +27,11 @@ def chrono_split(indexed: DataFrame, train: float = 0.7, val: float = 0.15, idx:
     )
 
 
+def split_by_date(df: DataFrame, train: float = 0.7, val: float = 0.15, ts: str = "ts") -> DataFrame:
+    """``idx`` and ``split`` on every row; both are worked out on the table of dates and joined once."""
+    return join_dates(df, chrono_split(date_index(df, ts), train, val), ts)
+
+
 def holdout_index(indexed: DataFrame, train: float = 0.7, val: float = 0.15, offset: int = 0, idx: str = "idx") -> DataFrame:
     """The one fixed train/validation split as a fold table, shifted by the rows lost to lags."""
     n = F.max(idx).cast("double")

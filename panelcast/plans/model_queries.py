@@ -23,7 +23,7 @@ HOLES = ["price", "quantity", "tax", "discount"]
 
 def split_feat(t: Tables):
     """Order lines with scaled predictors and the chronological split."""
-    df = splits.chrono_split(ordering.row_index(t.feat))
+    df = splits.split_by_date(t.feat)
     return Scaler.fit(df.where("split = 'train'"), FEATURES).transform(df)
 
 
@@ -360,7 +360,7 @@ LABEL = "CASE WHEN mae_ratio < 1 THEN 'Underfitting' WHEN mae_ratio = 0 THEN 'Fi
 
 
 def predicted(t: Tables):
-    df = splits.chrono_split(ordering.row_index(t.panel))
+    df = splits.split_by_date(t.panel)
     return df.withColumn("prediction", F.col("value") * F.lit(0.9) + 10)
 
 
@@ -404,31 +404,31 @@ def u8(t: Tables):
     return tune.per_entity(split_feat(t), "y", FEATURES, ["l_suppkey"])
 
 
-ONE_FEATURE = SPLIT.format(src="feat") + """, gr AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 2.0::DOUBLE)) v(point, lambda)),
-    tr AS (SELECT {key}, point, lambda, regr_slope(y, quantity) / (1 + lambda) AS b, AVG(y) AS my, AVG(quantity) AS mx
-      FROM sp, gr WHERE split IN ({fit}) GROUP BY ALL),
-    pr AS (SELECT {key}, sp.split, point, lambda, my + b * (quantity - mx) - y AS e FROM sp JOIN tr USING ({key}))"""
+ONE_FEATURE = SPLIT.format(src="feat") + """, gr AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 2.0::DOUBLE)) v(point, "lambda")),
+    tr AS (SELECT {key}, point, "lambda", regr_slope(y, quantity) / (1 + "lambda") AS b, AVG(y) AS my, AVG(quantity) AS mx
+      FROM sp, gr WHERE split IN ({fit}) GROUP BY {key}, point, "lambda"),
+    pr AS (SELECT {key}, sp.split, point, "lambda", my + b * (quantity - mx) - y AS e FROM sp JOIN tr USING ({key}))"""
 ONE_GRID = [{"lambda": v} for v in (0.0, 0.5, 2.0)]
 
 
-@query("u2_grid_search_single", "feat", ONE_FEATURE.format(key="grp", fit="'train'") + """ SELECT grp, CAST(point AS INTEGER) AS point, lambda,
+@query("u2_grid_search_single", "feat", ONE_FEATURE.format(key="grp", fit="'train'") + """ SELECT grp, CAST(point AS INTEGER) AS point, "lambda",
     ROUND(sqrt(AVG(e * e) FILTER (split = 'train')), 4) AS mse_train, ROUND(sqrt(AVG(e * e) FILTER (split = 'val')), 4) AS mse_val,
     ROUND(AVG(abs(e)) FILTER (split = 'train'), 4) AS mae_train, ROUND(AVG(abs(e)) FILTER (split = 'val'), 4) AS mae_val FROM pr GROUP BY ALL""")
 def u2b(t: Tables):
-    out = tune.grid_search(splits.chrono_split(ordering.row_index(t.feat)), "y", ["quantity"], ONE_GRID, ["grp"]).drop("coef")
+    out = tune.grid_search(splits.split_by_date(t.feat), "y", ["quantity"], ONE_GRID, ["grp"]).drop("coef")
     out = out.withColumns({c: F.sqrt(c) for c in ("mse_train", "mse_val")})
     return rounded(out, 4, "mse_train", "mse_val", "mae_train", "mae_val")
 
 
 @query("u7_refit_best_single", "feat", ONE_FEATURE.format(key="grp", fit="'train'") + """, w AS (SELECT grp, arg_min(point, m) AS point FROM
       (SELECT grp, point, AVG(e * e) AS m FROM pr WHERE split = 'val' GROUP BY 1, 2) GROUP BY grp),
-    t2 AS (SELECT grp, point, regr_slope(y, quantity) / (1 + lambda) AS b, AVG(y) AS my, AVG(quantity) AS mx FROM sp JOIN w USING (grp) JOIN gr USING (point)
-      WHERE split <> 'test' GROUP BY grp, point, lambda),
+    t2 AS (SELECT grp, point, regr_slope(y, quantity) / (1 + "lambda") AS b, AVG(y) AS my, AVG(quantity) AS mx FROM sp JOIN w USING (grp) JOIN gr USING (point)
+      WHERE split <> 'test' GROUP BY grp, point, "lambda"),
     e2 AS (SELECT grp, point, split, my + b * (quantity - mx) - y AS e FROM sp JOIN t2 USING (grp))
     SELECT grp, CAST(point AS INTEGER) AS point, ROUND(AVG(abs(e)) FILTER (split <> 'test'), 4) AS mae_train_val,
       ROUND(AVG(abs(e)) FILTER (split = 'test'), 4) AS mae_test FROM e2 GROUP BY 1, 2""")
 def u7b(t: Tables):
-    df = splits.chrono_split(ordering.row_index(t.feat))
+    df = splits.split_by_date(t.feat)
     results = linear.fit_grid(df, "y", ["quantity"], ONE_GRID, ["grp"])
     out = tune.refit_best(df, "y", ["quantity"], results, ONE_GRID, ["grp"])
     return rounded(out.select("grp", "point", "mae_train_val", "mae_test"), 4, "mae_train_val", "mae_test")
@@ -439,7 +439,7 @@ def u7b(t: Tables):
     SELECT l_suppkey, ROUND(AVG(abs(e)) FILTER (split = 'train'), 4) AS mae_train, ROUND(AVG(abs(e)) FILTER (split = 'test'), 4) AS mae_test,
       ROUND(AVG(abs(e)) FILTER (split = 'test') / AVG(abs(e)) FILTER (split = 'train'), 7) AS mae_ratio FROM pr GROUP BY 1""")
 def u8b(t: Tables):
-    out = tune.per_entity(splits.chrono_split(ordering.row_index(t.feat)), "y", ["quantity"], ["l_suppkey"])
+    out = tune.per_entity(splits.split_by_date(t.feat), "y", ["quantity"], ["l_suppkey"])
     return rounded(rounded(out.select("l_suppkey", "mae_train", "mae_test", "mae_ratio"), 4, "mae_train", "mae_test"), 7, "mae_ratio")
 
 
