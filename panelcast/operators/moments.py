@@ -121,7 +121,9 @@ def per_group(cells: DataFrame, by: Sequence[str], solve, schema: T.StructType)
             out[k] = [key[n]] * len(out)
         return out[out_names]
 
-    out = src.groupBy(*keys).applyInPandas(run, full)
+    # the rows are few but the solvers are not free: keep every shuffle partition instead of coalescing them
+    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = src.repartition(parts, *keys).groupBy(*keys).applyInPandas(run, full)
     return out if by else out.drop("_g")
 
 
