@@ -115,15 +115,26 @@ def per_group(cells: DataFrame, by: Sequence[str], solve, schema: T.StructType)
     full = T.StructType([src.schema[k] for k in keys] + list(schema.fields))
     out_names = [f.name for f in full.fields]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = solve(pdf)
-        for n, k in enumerate(keys):
-            out[k] = [key[n]] * len(out)
-        return out[out_names]
+    cell_names = [c for c in src.columns if c not in keys]
 
-    # the rows are few but the solvers are not free: keep every shuffle partition instead of coalescing them
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = []
+            for n, packed in enumerate(pdf["_cells"]):
+                cells = pd.DataFrame([c if isinstance(c, dict) else c.asDict() for c in packed], columns=cell_names)
+                for k in keys:
+                    cells[k] = [pdf[k].iloc[n]] * len(cells)
+                out = solve(cells)
+                for k in keys:
+                    out[k] = [pdf[k].iloc[n]] * len(out)
+                done.append(out[out_names])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+
+    # one short row per group; the solvers are not free, so every shuffle partition is kept
     parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = src.repartition(parts, *keys).groupBy(*keys).applyInPandas(run, full)
+    rows = src.groupBy(*keys).agg(F.collect_list(F.struct(*cell_names)).alias("_cells"))
+    out = rows.repartition(parts, *keys).mapInPandas(run, full)
     return out if by else out.drop("_g")
 
 
