@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import lines, simhash, urls
+from panelcast.llm import bpe, language, lines, packing, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +48,25 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_url_filter"] = urls.check_sql()
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~language.held_out()))
+    said = language.identify(docs, model)
+    return said.select(F.col("id").alias("doc_id"), language.held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every token piece of every document."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the ids of every document, and of the bytes they decode to."""
+    done = bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+    return done.withColumnRenamed("id", "doc_id")
