@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, language, lines, packing, simhash, urls
+from panelcast.llm import bpe, language, lines, lsh, packing, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the ids of every document, and of the bytes they decode to."""
     done = bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
     return done.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return lsh.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
