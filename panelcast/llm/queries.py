@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, html, language, lines, lsh, neighbors, packing, simhash, urls
+from panelcast.llm import bpe, html, language, lines, lsh, neighbors, packing, repeats, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,12 @@ def op1_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.nearest(rows, rows.where(F.col("vec_id") % 20 == 0)).withColumnRenamed("id", "vec_id")
 
 
+@query
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its 200-byte strings that start anywhere else too."""
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
