@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import simhash
+from panelcast.llm import language, lines, packing, repeats, simhash
 from panelcast.session import scratch_path
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language is found."""
+    return language.keep_identified(docs, language.learn(docs.where(~language.held_out())))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes boilerplate lines of a source out of the texts."""
+    return lines.drop_boilerplate(docs).select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes long byte strings that start anywhere else too out of the texts."""
+    return repeats.without_repeats(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of what is left into training sequences."""
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("best_fit_packing", best_fit_packing),
+]
 #: Hash sketches, byte models and packings have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 

@@ -161,3 +161,16 @@ def identify(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learned from."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+
+
+def keep_identified(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is ``und``: null texts and texts without letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ppm = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([ppm.predict(t.as_py())[0] != "und" for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
