@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Degrees of freedom beyond which the tail is that of the normal distribution, corrected by 1 / df.
+LARGE = 1e7
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Lentz evaluation of the incomplete-beta continued fraction."""
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 100_000) -> np.ndarray:
+    """Lentz evaluation of the incomplete-beta continued fraction; raises if it does not settle."""
     tiny = 1e-300
 
     def safe(v):
@@ -32,9 +36,9 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 30
             d = 1.0 / safe(1.0 + coef * d)
             c = safe(1.0 + coef / c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
-            break
-    return h
+        if np.all(np.abs(d * c - 1.0) < 1e-14):
+            return h
+    raise ArithmeticError("incomplete beta: no convergence")
 
 
 def incomplete_beta(a, b, x) -> np.ndarray:
@@ -62,8 +66,12 @@ def t_two_sided(t, df) -> np.ndarray:
     ok = ~np.isnan(t) & (df > 0)
     finite = ok & np.isfinite(t)
     out[ok & np.isinf(t)] = 0.0
-    d = df[finite]
-    out[finite] = incomplete_beta(d / 2.0, 0.5, d / (d + t[finite] ** 2))
+    many = finite & (df > LARGE)
+    few = finite & ~many
+    d = df[few]
+    out[few] = incomplete_beta(d / 2.0, 0.5, d / (d + t[few] ** 2))
+    z = np.abs(t[many]) * (1 - 1 / (4 * df[many])) / np.sqrt(1 + t[many] ** 2 / (2 * df[many]))
+    out[many] = [math.erfc(v / math.sqrt(2)) for v in z]
     return out
 
 

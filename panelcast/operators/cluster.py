@@ -14,8 +14,7 @@ from panelcast.operators.aggregate import entity_profile, entity_profile_latest_
 from panelcast.operators.joins import zip_by_key
 from panelcast.operators.preprocess import PCAThreshold, Scaler
 from panelcast.operators.splits import hash_uniform
-
-SAMPLE = 2000  # rows that seed the starting centres
+from panelcast.session import cut_lineage
 
 
 def cluster_features(panel: DataFrame, dim: DataFrame, scale: bool = True, fit_until=None) -> DataFrame:
@@ -33,32 +32,39 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)[None, :]
 
 
-def batch_kmeans(points: DataFrame, start: Mapping[tuple[int, int], np.ndarray], max_iter: int = 30) -> tuple[dict, dict]:
+def batch_kmeans(points: DataFrame, start: Mapping[tuple[int, int], np.ndarray], max_iter: int = 1000) -> tuple[dict, dict]:
     """Many k-means runs at once: ``points`` has ``grp int, vec array<double>``; ``start[(grp, run)]`` are (k, p) centres.
 
     Every iteration is one job for all runs: tasks add up counts and sums per (run, centre), only those
-    sums (runs * k * p numbers) come back. Returns final centres and within sums of squares.
+    sums (runs * k * p numbers) come back. Runs whose centres stay leave the job; runs that have not
+    settled after ``max_iter`` raise. Returns the settled centres and their within sums of squares.
     """
     centers = {key: np.array(c, dtype=float) for key, c in start.items()}
     wss: dict = {}
+    open_runs = set(centers)
     spark = points.sparkSession
     schema = "grp int, run int, c int, dim int, s double"
     for _ in range(max_iter):
-        shared = spark.sparkContext.broadcast(centers)
+        if not open_runs:
+            return centers, wss
+        by_group: dict = {}
+        for g, run in sorted(open_runs):
+            by_group.setdefault(g, []).append((run, centers[(g, run)]))
+        shared = spark.sparkContext.broadcast(by_group)
 
         def partial(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             acc: dict = {}
             for pdf in batches:
                 for grp, at in pdf.groupby("grp").indices.items():
+                    if grp not in shared.value:
+                        continue
                     x = np.vstack(pdf["vec"].to_numpy()[at]).astype(float)
-                    for (g, run), cen in shared.value.items():
-                        if g != grp:
-                            continue
+                    for run, cen in shared.value[grp]:
                         d = _distances(x, cen)
                         who = d.argmin(1)
                         hot = np.eye(len(cen))[who]
                         part = np.column_stack([hot.sum(0), hot.T @ np.clip(d.min(1), 0, None), hot.T @ x])
-                        acc[(g, run)] = acc.get((g, run), 0.0) + part
+                        acc[(grp, run)] = acc.get((grp, run), 0.0) + part
             for (g, run), m in acc.items():
                 k, w = m.shape
                 yield pd.DataFrame({"grp": np.full(k * w, g, "int32"), "run": np.full(k * w, run, "int32"),
@@ -67,43 +73,75 @@ def batch_kmeans(points: DataFrame, start: Mapping[tuple[int, int], np.ndarray],
 
         sums = points.mapInPandas(partial, schema).groupBy("grp", "run", "c", "dim").agg(F.sum("s").alias("s")).toPandas()
         shared.unpersist()
-        moved = False
         for (g, run), part in sums.groupby(["grp", "run"]):
             m = part.pivot(index="c", columns="dim", values="s").sort_index().to_numpy()
             old = centers[(g, run)]
             new = np.where(m[:, :1] > 0, m[:, 2:] / np.maximum(m[:, :1], 1), old)
             wss[(g, run)] = float(m[:, 1].sum())
-            moved = moved or bool(np.abs(new - old).max() > 1e-9)
-            centers[(g, run)] = new
-        if not moved:
-            break
-    return centers, wss
+            if np.abs(new - old).max() <= 1e-9 * (1 + np.abs(old).max()):
+                open_runs.discard((g, run))
+            else:
+                centers[(g, run)] = new
+        open_runs &= {(int(g), int(run)) for g, run in zip(sums["grp"], sums["run"])}
+    raise ArithmeticError(f"{len(open_runs)} k-means runs have not settled after {max_iter} steps")
 
 
 def _vectors(df: DataFrame, cols: Sequence[str], key: str = "entity") -> DataFrame:
     return df.select(key, F.lit(0).alias("grp"), F.array(*[F.col(c).cast("double") for c in cols]).alias("vec"))
 
 
-def _spread(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k starting centres, each drawn with probability proportional to its squared distance so far."""
-    chosen = [sample[rng.integers(len(sample))]]
-    for _ in range(k - 1):
-        d = np.clip(_distances(sample, np.array(chosen)).min(1), 0, None)
-        chosen.append(sample[rng.choice(len(sample), p=d / d.sum())] if d.sum() > 0 else sample[rng.integers(len(sample))])
-    return np.array(chosen)
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform numbers in (0, 1) from row hashes; another salt gives other numbers."""
+    x = h.astype(np.int64).view(np.uint64) + np.uint64(salt & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
+
 
+def starting_centers(points: DataFrame, runs: Mapping[tuple[int, int], int], key: str, seed: int) -> dict:
+    """``runs[(grp, run)] = k`` starting centres, each drawn from all rows of the group with probability proportional to its squared distance so far.
 
-def _sample(points: DataFrame, key: str, seed: int) -> np.ndarray:
-    """A fixed-size random sample by hash order, for starting centres only."""
-    rows = points.orderBy(F.xxhash64(key, F.lit(seed))).limit(SAMPLE).select("vec").toPandas()
-    return np.vstack(rows["vec"].to_numpy()).astype(float)
+    One job for each further centre of all runs: the row with the least -log(u) / weight wins, u being a
+    hash of row, run and draw, so tasks hand on one row per run and nothing is sampled.
+    """
+    spark = points.sparkSession
+    rows = points.select("grp", "vec", F.xxhash64("grp", key, F.lit(seed)).alias("h"))
+    chosen: dict = {run: [] for run in runs}
+    for draw in range(max(runs.values())):
+        by_group: dict = {}
+        for (g, run), k in sorted(runs.items()):
+            if draw < k:
+                by_group.setdefault(g, []).append((run, np.array(chosen[(g, run)])))
+        shared = spark.sparkContext.broadcast(by_group)
+
+        def partial(batches: Iterator[pd.DataFrame], shared=shared, draw=draw) -> Iterator[pd.DataFrame]:
+            best: dict = {}
+            for pdf in batches:
+                for grp, at in pdf.groupby("grp").indices.items():
+                    if grp not in shared.value:
+                        continue
+                    x = np.vstack(pdf["vec"].to_numpy()[at]).astype(float)
+                    h = pdf["h"].to_numpy()[at]
+                    for run, so_far in shared.value[grp]:
+                        weight = np.clip(_distances(x, so_far).min(1), 0, None) if len(so_far) else np.ones(len(x))
+                        wait = -np.log(_uniform(h, run * 65_537 + draw + 1)) / np.maximum(weight, 1e-300)
+                        i = int(wait.argmin())
+                        if (grp, run) not in best or wait[i] < best[(grp, run)][0]:
+                            best[(grp, run)] = (float(wait[i]), x[i])
+            if best:
+                yield pd.DataFrame([[g, run, w, v] for (g, run), (w, v) in best.items()], columns=["grp", "run", "wait", "vec"])
+
+        drawn = rows.mapInPandas(partial, "grp int, run int, wait double, vec array<double>").groupBy("grp", "run").agg(F.min_by("vec", "wait").alias("vec"))
+        for r in drawn.collect():
+            chosen[(r["grp"], r["run"])].append(np.array(r["vec"]))
+        shared.unpersist()
+    return {run: np.array(c) for run, c in chosen.items() if c}
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 8, nstart: int = 25, seed: int = 42, key: str = "entity") -> tuple[DataFrame, float]:
     """``(key, cluster 1..k)`` of the best of ``nstart`` starts, and its within sum of squares."""
-    points = _vectors(df, cols, key).persist()
-    rng, sample = np.random.default_rng(seed), _sample(points, key, seed)
-    centers, wss = batch_kmeans(points, {(0, r): _spread(sample, k, rng) for r in range(nstart)})
+    points = cut_lineage(_vectors(df, cols, key))
+    centers, wss = batch_kmeans(points, starting_centers(points, {(0, r): k for r in range(nstart)}, key, seed))
     best = min(wss, key=wss.get)
     final = centers[best][np.lexsort(centers[best].T[::-1])]  # numbered by position, not by chance
 
@@ -117,10 +155,9 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 8, nstart: int = 25, see
 
 def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int], nstart: int = 5, seed: int = 42, key: str = "entity") -> DataFrame:
     """``(k, wss)``; all k and starts share the passes over the data."""
-    points = _vectors(df, cols, key).persist()
-    rng, sample = np.random.default_rng(seed), _sample(points, key, seed)
+    points = cut_lineage(_vectors(df, cols, key))
     runs = [(k, s) for k in ks for s in range(nstart)]
-    _, wss = batch_kmeans(points, {(0, r): _spread(sample, k, rng) for r, (k, _) in enumerate(runs)})
+    _, wss = batch_kmeans(points, starting_centers(points, {(0, r): k for r, (k, _) in enumerate(runs)}, key, seed))
     best = {k: min(wss[(0, r)] for r, (kk, _) in enumerate(runs) if kk == k) for k in ks}
     return df.sparkSession.createDataFrame([(int(k), float(v)) for k, v in best.items()], "k int, wss double")
 
@@ -154,12 +191,12 @@ def gap_statistic(df: DataFrame, cols: Sequence[str], ks: Sequence[int], B: int
     """``k, wss, gap, s``: mean log W of B uniform reference sets minus log W, s = sd * sqrt(1 + 1/B).
 
     Reference rows are drawn in the box of the principal axes by a hash of (row, set); all sets and all
-    k are clustered together.
+    k are clustered together, from starts drawn by one rule. The sd is that of a sample.
     """
     spark = df.sparkSession
     pca = PCAThreshold.fit(df, cols, k=len(list(cols)))
     scores = pca.transform(df, [key])
-    data = _vectors(scores, pca.names, key).persist()
+    data = _vectors(scores, pca.names, key)
     box = scores.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(pca.names)],
                      *[F.max(c).alias(f"b{i}") for i, c in enumerate(pca.names)], F.count("*").alias("n")).first()
     p = len(pca.names)
@@ -168,17 +205,15 @@ def gap_statistic(df: DataFrame, cols: Sequence[str], ks: Sequence[int], B: int
         F.col("id").alias(key), (F.col("id") % B + 1).cast("int").alias("grp"),
         F.array(*[F.lit(float(lo[i])) + hash_uniform(["id"], i, seed) * F.lit(float(hi[i] - lo[i])) for i in range(p)]).alias("vec"),
     )
-    rng, sample = np.random.default_rng(seed), _sample(data, key, seed)
     runs = [(k, s) for k in ks for s in range(nstart)]
-    start = {(0, r): _spread(sample, k, rng) for r, (k, _) in enumerate(runs)}
-    for b in range(1, B + 1):
-        start.update({(b, r): rng.uniform(lo, hi, size=(k, p)) for r, (k, _) in enumerate(runs)})
-    _, wss = batch_kmeans(data.unionByName(ref).persist(), start)
+    points = cut_lineage(data.unionByName(ref))
+    start = starting_centers(points, {(b, r): k for b in range(B + 1) for r, (k, _) in enumerate(runs)}, key, seed)
+    _, wss = batch_kmeans(points, start)
     rows = []
     for k in ks:
         w = lambda b: min(wss[(b, r)] for r, (kk, _) in enumerate(runs) if kk == k)  # noqa: B023, E731
         logs = np.log([max(w(b), 1e-300) for b in range(1, B + 1)])
-        rows.append((int(k), w(0), float(logs.mean() - np.log(max(w(0), 1e-300))), float(logs.std() * np.sqrt(1 + 1 / B))))
+        rows.append((int(k), w(0), float(logs.mean() - np.log(max(w(0), 1e-300))), float(logs.std(ddof=1) * np.sqrt(1 + 1 / B))))
     return spark.createDataFrame(rows, "k int, wss double, gap double, s double")
 
 

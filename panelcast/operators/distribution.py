@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import add_calendar
+from panelcast.operators.joins import join_groups
 from panelcast.operators.quantiles import exact_quantiles
 
 ALL = "_all"  # stand-in group key when there is no grouping
@@ -33,7 +34,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = 30, by: Sequence[str]
         whole = data.agg(*rng).select(F.struct("_lo", "_hi", "_t")).scalar()
         data = data.withColumn("_r", whole).select(*keys, "_x", "_r.*")
     else:
-        data = data.join(data.groupBy(*keys).agg(*rng), keys)
+        data = join_groups(data, data.groupBy(*keys).agg(*rng), keys, 3)
     width = (F.col("_hi") - F.col("_lo")) / k
     data = data.withColumn("_k", k.cast("int")).withColumn("_w", F.when(F.col("_hi") > F.col("_lo"), width).otherwise(1.0))
     bin_no = F.least(F.col("_k") - 1, F.floor((F.col("_x") - F.col("_lo")) / F.col("_w"))).cast("int")
@@ -66,7 +67,7 @@ def kde(df: DataFrame, col: str, grid: int = 512, by: Sequence[str] = ()) -> Dat
         .where((F.col("_bw") > 0) & (F.col("_s") > 0))
     )
     cell = F.least(F.lit(grid - 1), F.floor((F.col("_x") - F.col("_lo")) / F.col("_s") + 0.5)).cast("int")
-    counts = data.join(par, keys).groupBy(*keys, "_n", "_lo", "_bw", "_s", cell.alias("_b")).agg(F.count("*").alias("_m"))
+    counts = join_groups(data, par, keys, 4).groupBy(*keys, "_n", "_lo", "_bw", "_s", cell.alias("_b")).agg(F.count("*").alias("_m"))
     u = (F.col("point") - F.col("_b")) * F.col("_s") / F.col("_bw")
     kernel = F.col("_m") * F.exp(F.lit(-0.5) * u * u)
     out = (
@@ -88,7 +89,7 @@ def boxplot_stats(df: DataFrame, col: str, by: Sequence[str] = (), coef: float =
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("_x").between(F.col("q1") - coef * iqr, F.col("q3") + coef * iqr)
     out = (
-        data.join(q, keys)
+        join_groups(data, q, keys, 3)
         .groupBy(*keys, "q1", "q2", "q3")
         .agg(
             F.min(F.when(inside, F.col("_x"))).alias("lower"),
@@ -105,7 +106,7 @@ def boxplot_outliers(df: DataFrame, col: str, by: Sequence[str], coef: float = 1
     q = exact_quantiles(df, by, col, [0.25, 0.75], ["_q1", "_q3"])
     iqr = F.col("_q3") - F.col("_q1")
     far = ~F.col(col).between(F.col("_q1") - coef * iqr, F.col("_q3") + coef * iqr)
-    return df.join(q, list(by)).where(far).drop("_q1", "_q3")
+    return join_groups(df, q, by, 2).where(far).drop("_q1", "_q3")
 
 
 def weighted_grid(points: DataFrame, cell: float, x: str = "lon", y: str = "lat", weight: str = "value") -> DataFrame:

@@ -31,24 +31,26 @@ def forecast_recursive(
     ``models.coef`` is ``[intercept, xs..., lags...]`` with lags of step, 2 step, .. rows. The part of the
     score that needs no lag is added up as a column expression; per group only the last step * times
     known values and the future rows meet in one task, however long the history is. Values of a block
-    depend on earlier blocks only, so a block is computed at once and equals the row-by-row loop.
+    depend on earlier blocks only, so a block is computed at once and equals the row-by-row loop. A
+    future row with a null predictor keeps its place and has a null prediction; so have the rows whose
+    lags reach it.
     """
     keys, depth = list(by), step * times
     size = history.groupBy(*keys).agg(F.count("*").alias("_n"))
     tail = (
         entity_index(history.select(*keys, ts, value), keys, ts, "_idx").join(size, keys).where(F.col("_idx") > F.col("_n") - depth)
-        .select(*keys, ts, F.col(value).alias("_v"), F.lit(None).cast("double").alias("_base"), F.lit(None).cast("array<double>").alias("_w"))
+        .select(*keys, ts, F.col(value).alias("_v"), F.lit(None).cast("double").alias("_base"), F.lit(None).cast("array<double>").alias("_w"), F.lit(True).alias("_known"))
     )
     cut = len(xs) + 1
     scored = (
         future.join(models.select(*keys, "coef"), keys)
         .withColumn("_base", linear_score("coef", xs))
-        .select(*keys, ts, F.lit(None).cast("double").alias("_v"), "_base", F.slice("coef", cut + 1, times).alias("_w"))
+        .select(*keys, ts, F.lit(None).cast("double").alias("_v"), "_base", F.slice("coef", cut + 1, times).alias("_w"), F.lit(False).alias("_known"))
     )
 
     def roll(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable")
-        known = pdf["_base"].isna().to_numpy()
+        known = pdf["_known"].to_numpy(dtype=bool)
         past, new = pdf.loc[known, "_v"].to_numpy(dtype=float), pdf[~known]
         out = np.concatenate([np.full(max(depth - len(past), 0), np.nan), past, np.full(len(new), np.nan)])
         first = len(out) - len(new)

@@ -1,4 +1,4 @@
-"""Joins. No broadcast hints: Spark broadcasts by its own size check and splits skewed partitions."""
+"""Joins. A side is sent to all tasks only after its size was measured; else Spark splits skewed partitions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.session import cut_lineage
+
 
 def left_join_suffix(
     a: DataFrame, b: DataFrame, on: Sequence[str], suffixes: tuple[str, str] = ("_x", "_y")
@@ -24,6 +26,21 @@ def inner_join_named(a: DataFrame, b: DataFrame, left_key: str, right_key: str)
     return a.join(b.withColumnRenamed(right_key, left_key), left_key, "inner")
 
 
+#: Numbers in a side up to which it is sent to every task.
+SMALL = 1_000_000
+
+
+def join_groups(df: DataFrame, side: DataFrame, on: Sequence[str], width: int = 1, how: str = "inner") -> DataFrame:
+    """Join a table with one row per group (``width`` numbers each) to its rows.
+
+    With few groups the rows stay where they are: ``side`` is stored, counted and broadcast. A larger
+    side is shuffled, and Spark splits the groups that are hot.
+    """
+    stored = cut_lineage(side)
+    small = stored.count() * max(1, width) <= SMALL
+    return df.join(F.broadcast(stored) if small else stored.hint("merge"), list(on), how)
+
+
 def lookup_dim(df: DataFrame, dim: DataFrame, key: str = "entity") -> DataFrame:
     return df.join(dim, key, "left")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.models.linear import COEF, fit, predict, solve_moments
+from panelcast.operators.joins import join_groups
 from panelcast.operators.moments import gram_matrix, gram_of_vector, per_group
 
 
@@ -48,7 +49,7 @@ def kernel_predict(
     df: DataFrame, models: DataFrame, xs: Sequence[str], sigma: float, by: Sequence[str] = (), size: int = 64, seed: int = 42,
     name: str = "prediction",
 ) -> DataFrame:
-    joined = df.join(models.select(*by, "coef"), list(by)) if by else df.withColumn("coef", models.select("coef").scalar())
+    joined = join_groups(df, models.select(*by, "coef"), by, size + 1) if by else df.withColumn("coef", models.select("coef").scalar())
     joined = joined.withColumn("_z", fourier_map(xs, sigma, size, seed))
     dot = F.aggregate(F.zip_with(F.slice("coef", 2, size), "_z", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return joined.withColumn(name, F.col("coef")[0] + dot).drop("coef", "_z")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.operators.joins import join_groups
 from panelcast.operators.moments import column_means, gram, gram_matrix, per_group
 from panelcast.operators.splits import hash_uniform
 
@@ -32,8 +33,8 @@ def _ridge(r, c, p):
     return np.linalg.solve(r + (float(p["lambda"]) + 1e-12) * np.eye(len(c)), c)
 
 
-def _elastic_net(r, c, p, sweeps: int = 1000, tol: float = 1e-10):
-    """Coordinate descent on 1/2n |y - Xb|^2 + lambda (alpha |b|_1 + (1 - alpha) / 2 |b|^2)."""
+def _elastic_net(r, c, p, sweeps: int = 1_000_000, tol: float = 1e-10):
+    """Coordinate descent on 1/2n |y - Xb|^2 + lambda (alpha |b|_1 + (1 - alpha) / 2 |b|^2); raises if it does not settle."""
     l1, l2 = p["lambda"] * p["alpha"], p["lambda"] * (1 - p["alpha"])
     b = np.zeros(len(c))
     for _ in range(sweeps):
@@ -44,8 +45,8 @@ def _elastic_net(r, c, p, sweeps: int = 1000, tol: float = 1e-10):
             move = max(move, abs(new - b[j]))
             b[j] = new
         if move < tol:
-            break
-    return b
+            return b
+    raise ArithmeticError(f"elastic net: moves of {move:g} after {sweeps} sweeps")
 
 
 def _boost(r, c, p):
@@ -137,17 +138,18 @@ def fit(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), kind:
 def predict(df: DataFrame, models: DataFrame, xs: Sequence[str], by: Sequence[str] = (), name: str = "prediction") -> DataFrame:
     """Score rows with the model of their group (a column expression after a join on the group)."""
     if by:
-        joined = df.join(models.select(*by, "coef"), list(by))
+        joined = join_groups(df, models.select(*by, "coef"), by, len(xs) + 1)
     else:
         joined = df.withColumn("coef", models.select("coef").scalar())
     return joined.withColumn(name, linear_score("coef", xs)).drop("coef")
 
 
 def linear_score(coef: str, xs: Sequence[str]) -> Column:
-    out = F.col(coef)[0]
-    for k, x in enumerate(xs):
-        out = out + F.col(coef)[k + 1] * F.col(x)
-    return out
+    """Intercept plus products in the order of the predictors; one flat expression for any number of them."""
+    if not xs:
+        return F.col(coef)[0]
+    values = F.array(*[F.col(x).cast("double") for x in xs])
+    return F.aggregate(F.zip_with(F.slice(coef, 2, len(xs)), values, lambda b, x: b * x), F.col(coef)[0], lambda s, v: s + v)
 
 
 def fit_grid(

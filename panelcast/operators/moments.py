@@ -85,9 +85,9 @@ def _gram_wide(data: DataFrame, by: list[str], p: int, weight) -> DataFrame:
                 g = x[at]
                 m = (g * w[at, None]).T @ g if weight else g.T @ g
                 held[key] = held[key] + m if key in held else m
-            if len(held) > keep:
-                yield from rows(held)
-                held = {}
+                if len(held) >= keep:
+                    yield from rows(held)
+                    held = {}
         yield from rows(held)
 
     parts = data.mapInPandas(partial, schema)

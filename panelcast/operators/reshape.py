@@ -41,10 +41,11 @@ def design_matrix(df: DataFrame, keep: Sequence[str], xs: Sequence[str], levels:
     return df.select(*keep, *out)
 
 
-def factor_levels(df: DataFrame, col: str, limit: int = 1000) -> list:
-    """Sorted levels of a factor; a column with more than ``limit`` levels is refused, not cut."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def factor_levels(df: DataFrame, col: str, limit: int | None = None) -> list:
+    """Sorted levels of a factor, one name each on the driver; more than a given ``limit`` are refused, not cut."""
+    levels = df.select(col).where(F.col(col).isNotNull()).distinct()
+    rows = (levels if limit is None else levels.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"{col} has more than {limit} levels and is no factor")
     return sorted(r[0] for r in rows)
 
@@ -55,3 +56,10 @@ def entity_columns(
     """Copy each cluster series to its member entities, one column per entity in the given order."""
     per_entity = members.join(forecast, "cluster").select("entity", ts, value)
     return to_wide(per_entity, [ts], "entity", value, names).select(ts, *[f"`{n}`" for n in names])
+
+
+def open_entities(wide: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
+    """``(ts, entity, value)`` from one column per (whole-numbered) entity, without the empty cells."""
+    names = [c for c in wide.columns if c != ts]
+    long = wide.unpivot([ts], [f"`{n}`" for n in names], "entity", value)
+    return long.select(ts, F.col("entity").cast("bigint").alias("entity"), value).where(F.col(value).isNotNull())

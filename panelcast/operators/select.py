@@ -17,6 +17,11 @@ from panelcast.operators.rank import top_features
 WIDE = 40  # from here on columns travel as one array instead of one expression each
 
 
+def _number(x: str) -> Column:
+    """The column as a double; NaN is missing, as null is."""
+    return F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))
+
+
 def _opened(df: DataFrame, by: Sequence[str], y: str, values: Sequence[Column] | Column) -> DataFrame:
     """One row ``(by, _y, _f, _x)`` per row and feature number; aggregated map-side right after."""
     head = [*by, F.col(y).cast("double").alias("_y")]
@@ -31,7 +36,7 @@ def _opened(df: DataFrame, by: Sequence[str], y: str, values: Sequence[Column] |
 def importance_linear(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """|t| of the slope of y on each feature: |r| sqrt((n - 2) / (1 - r^2))."""
     names = F.array(*[F.lit(x) for x in xs])
-    cols = [F.col(x).cast("double") for x in xs]
+    cols = [_number(x) for x in xs]
     long = _opened(df, by, y, cols if len(xs) <= WIDE else F.array(*cols)).where("_y IS NOT NULL AND _x IS NOT NULL")
     stats = long.groupBy(*by, "_f").agg(F.corr("_y", "_x").alias("_r"), F.count("*").alias("_n"))
     score = F.abs("_r") * F.sqrt((F.col("_n") - 2) / F.nullif(1 - F.col("_r") * F.col("_r"), F.lit(0.0)))
@@ -42,17 +47,17 @@ def quantile_edges(df: DataFrame, xs: Sequence[str], bins: int) -> list[list[flo
     """Inner quantile edges per feature: (bins - 1) numbers each, whatever the data size."""
     probs = [k / bins for k in range(1, bins)]
     names = [f"e{k}" for k in range(1, bins)]
-    cols = [F.col(x).cast("double") for x in xs]
+    cols = [_number(x) for x in xs]
     long = _opened(df.withColumn("_c", F.lit(0.0)), [], "_c", cols if len(xs) <= WIDE else F.array(*cols))
     rows = {r["_f"]: [r[n] for n in names] for r in exact_quantiles(long, ["_f"], "_x", probs, names).collect()}
     return [sorted(set(rows.get(k, []))) for k in range(len(xs))]
 
 
 def bin_columns(xs: Sequence[str], edges: Sequence[Sequence[float]]) -> list[Column] | Column:
-    """Bin number (count of edges below the value, null for null) per feature: columns, or one array if many."""
+    """Bin number (count of edges below the value, null for null and NaN) per feature: columns, or one array if many."""
     if len(xs) <= WIDE:
-        one = lambda x, es: sum((F.when(F.col(x) > F.lit(e), 1).otherwise(0) for e in es), F.lit(0))
-        return [F.when(F.col(x).isNotNull(), one(x, es)) for x, es in zip(xs, edges)]
+        one = lambda x, es: sum((F.when(_number(x) > F.lit(e), 1).otherwise(0) for e in es), F.lit(0))
+        return [F.when(_number(x).isNotNull(), one(x, es)) for x, es in zip(xs, edges)]
     arrays = [np.asarray(e, dtype=float) for e in edges]
 
     def cut(v: pd.Series) -> pd.Series:
@@ -63,7 +68,7 @@ def bin_columns(xs: Sequence[str], edges: Sequence[Sequence[float]]) -> list[Col
             return pd.Series(list(out))
         return pd.Series([np.where(g, None, o) for g, o in zip(gaps, out)])
 
-    return F.pandas_udf(cut, T.ArrayType(T.IntegerType()))(F.array(*[F.col(x).cast("double") for x in xs]))
+    return F.pandas_udf(cut, T.ArrayType(T.IntegerType()))(F.array(*[_number(x) for x in xs]))
 
 
 def _binned_scores(binned: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], bins: Sequence[Column] | Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelcast.operators.joins import join_groups
 from panelcast.operators.ordering import entity_index, with_halo
 
 
@@ -61,7 +62,7 @@ def zscore(df: DataFrame, col: str = "value", part: Sequence[str] = (), name: st
     """(x - mean) / sd with the sample sd, per part or over the whole column."""
     stats = [F.avg(col).alias("_mean"), F.stddev_samp(col).alias("_sd")]
     if part:
-        joined = df.join(df.groupBy(*part).agg(*stats), list(part))
+        joined = join_groups(df, df.groupBy(*part).agg(*stats), part, 2)
     else:
         one = df.agg(*stats).select(F.struct("_mean", "_sd")).scalar()
         joined = df.withColumn("_s", one).select("*", "_s.*").drop("_s")

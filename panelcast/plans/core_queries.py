@@ -218,12 +218,11 @@ def d4(t: Tables):
 
 @query("d5_entity_columns", "panel clusters", """,
     f AS (SELECT cluster, ts, ROUND(SUM(value), 2) AS value FROM panel JOIN clusters USING (entity) GROUP BY 1, 2)
-    SELECT ts, """ + ", ".join(f'MAX(CASE WHEN entity = {e} THEN value END) AS "{e}"' for e in range(10)) +
-    " FROM clusters JOIN f USING (cluster) WHERE entity BETWEEN 0 AND 9 GROUP BY ts")
+    SELECT ts, entity, value FROM clusters JOIN f USING (cluster)""")
 def d5(t: Tables):
     series = (t.panel.join(t.clusters, "entity").groupBy("cluster", "ts")
               .agg(F.round(F.sum("value"), 2).alias("value")))
-    return reshape.entity_columns(series, t.clusters, list(range(10)))
+    return reshape.open_entities(reshape.entity_columns(series, t.clusters, reshape.factor_levels(t.clusters, "entity")))
 
 
 # ---- E: joins ----

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import power_grid
-from panelcast.operators import cluster, forecast, frame, impute, metrics, ordering, select, smooth, splits, tune
+from panelcast.operators import cluster, forecast, frame, impute, metrics, ordering, reshape, select, smooth, splits, tune
 from panelcast.operators.joins import range_join_folds
 from panelcast.operators.models import kernel, linear, svr, tree
 from panelcast.operators.preprocess import PCAThreshold, Scaler, pca_distributions, pca_scores_table
@@ -502,8 +502,8 @@ def w2b(t: Tables):
 
 
 @query("w3_submission", "cents clusters", """, m AS (SELECT cluster, ts, ROUND(AVG(value)) AS v FROM cents JOIN clusters USING (entity) GROUP BY 1, 2)
-    SELECT ts, """ + ", ".join(f'MAX(CASE WHEN entity = {e} THEN v END) AS "{e}"' for e in range(10)) +
-    " FROM m JOIN clusters USING (cluster) WHERE ts >= DATE '2001-01-01' AND entity BETWEEN 0 AND 9 GROUP BY ts")
+    SELECT ts, entity, v AS value FROM m JOIN clusters USING (cluster) WHERE ts >= DATE '2001-01-01'""")
 def w3(t: Tables):
+    """One column per entity in the submission; opened again to compare all of them."""
     mean = cluster.cluster_mean(t.cents, t.clusters).select("cluster", "ts", F.round("value").alias("prediction"))
-    return forecast.submission(mean, t.clusters, list(range(10)), "2001-01-01")
+    return reshape.open_entities(forecast.submission(mean, t.clusters, reshape.factor_levels(t.clusters, "entity"), "2001-01-01"))

@@ -116,13 +116,13 @@ def l1b(t: Tables):
 @query("l2_kde", "cents", """, d AS (SELECT CAST(year(ts) AS INTEGER) AS year, value AS x FROM cents),
     m AS (SELECT year, COUNT(*) AS n, stddev_samp(x) AS sd, MIN(x) AS lo, MAX(x) AS hi,
       (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34::DOUBLE AS iqr FROM d GROUP BY 1),
-    p AS (SELECT year, n, lo, 0.9::DOUBLE * least(sd, iqr) * n::DOUBLE ** -0.2::DOUBLE AS bw, (hi - lo) / 127 AS s FROM m),
-    c AS (SELECT year, n, lo, bw, s, least(127, floor((x - lo) / s + 0.5::DOUBLE)) AS b, COUNT(*) AS cnt FROM d JOIN p USING (year) GROUP BY ALL)
+    p AS (SELECT year, n, lo, 0.9::DOUBLE * least(sd, iqr) * n::DOUBLE ** -0.2::DOUBLE AS bw, (hi - lo) / 511 AS s FROM m),
+    c AS (SELECT year, n, lo, bw, s, least(511, floor((x - lo) / s + 0.5::DOUBLE)) AS b, COUNT(*) AS cnt FROM d JOIN p USING (year) GROUP BY ALL)
     SELECT year, CAST(g AS INTEGER) AS point, ROUND(lo + g * s, 4) AS x,
       ROUND(SUM(cnt * exp(-0.5::DOUBLE * ((g - b) * s / bw) ** 2)) / (n * bw * sqrt(2 * pi())) * 1e6, 7) AS density
-    FROM c, range(0, 128) r(g) GROUP BY year, n, lo, bw, s, g""")
+    FROM c, range(0, 512) r(g) GROUP BY year, n, lo, bw, s, g""")
 def l2(t: Tables):
-    out = dist.kde(t.cents.withColumn("year", F.year("ts")), "value", 128, ["year"])
+    out = dist.kde(t.cents.withColumn("year", F.year("ts")), "value", 512, ["year"])
     return out.withColumns({"x": F.round("x", 4), "density": F.round(F.col("density") * F.lit(1e6), 7)})
 
 
@@ -203,10 +203,10 @@ def m1c(t: Tables):
 
 
 @query("m2_trend_of", "cents", """, s AS (SELECT entity, SUM(value) AS total FROM cents GROUP BY 1 ORDER BY total DESC, entity LIMIT 5)
-    SELECT entity, ts, CASE WHEN COUNT(value) OVER w = 101 THEN SUM(value) OVER w / 101 END AS trend FROM cents
-    WHERE entity IN (SELECT entity FROM s) WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)""")
+    SELECT entity, ts, CASE WHEN COUNT(value) OVER w = 365 THEN SUM(value) OVER w / 365 END AS trend FROM cents
+    WHERE entity IN (SELECT entity FROM s) WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)""")
 def m2(t: Tables):
-    return series.trend_of(t.cents, rank.top_k(t.cents, 5).select("entity"), 101)
+    return series.trend_of(t.cents, rank.top_k(t.cents, 5).select("entity"), 365)
 
 
 @query("m3_panel_mean_series", "cents", "SELECT 'all' AS entity, ts, AVG(value) AS value FROM cents GROUP BY ts")

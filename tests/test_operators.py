@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.functions import student
 from panelcast.functions.student import t_two_sided
-from panelcast.operators import cluster, correlate, distribution, forecast, geo, impute, moments, ordering, rank, splits, tune, window
+from panelcast.operators import cluster, correlate, distribution, forecast, geo, impute, joins, moments, ordering, rank, select, splits, tune, window
 from panelcast.operators.models import kernel, linear, svr, tree
 from panelcast.operators.preprocess import PCAThreshold, Scaler
 from panelcast.operators.quantiles import exact_quantiles
@@ -293,3 +294,115 @@ def test_date_index_counts_every_date_once(spark):
     pdf = _series(800, 10)
     out = ordering.row_index(spark.createDataFrame(pdf)).select("ts", "idx").distinct().toPandas().sort_values("ts")
     assert list(out["idx"]) == list(range(1, len(out) + 1))
+
+
+# ---- rules that must not depend on sizes, and groups without information ----
+
+
+def _gappy(spark, width):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=600)
+    holes = np.where(rng.random(600) < 0.3, np.nan, x)
+    pdf = pd.DataFrame({f"f{k}": rng.normal(size=600) for k in range(width)})
+    pdf["f0"] = holes
+    pdf["y"] = x + 3 * np.isnan(pdf["f0"]) + 0.1 * np.random.default_rng(8).normal(size=600)
+    return spark.createDataFrame(pdf), [f"f{k}" for k in range(width)]
+
+
+@pytest.mark.parametrize("score", [select.importance_nonpara, select.importance_linear])
+def test_nan_is_missing_at_any_number_of_columns(spark, score):
+    got = []
+    for width in (40, 41):
+        df, names = _gappy(spark, width)
+        got.append({r["feature"]: r["score"] for r in score(df, "y", names).collect()})
+    assert all(np.isclose(got[0][f], got[1][f]) for f in got[0])
+    kept = df.where(~F.isnan("f0"))
+    assert np.isclose(got[1]["f0"], score(kept, "y", ["f0"]).first()["score"])
+
+
+def test_any_row_can_be_a_starting_centre(spark):
+    points = spark.range(6000).select("id", F.lit(0).alias("grp"), F.array(F.col("id").cast("double")).alias("vec"))
+    starts = cluster.starting_centers(points, {(0, r): 1 for r in range(200)}, "id", 1)
+    drawn = np.array([c[0, 0] for c in starts.values()])
+    assert len(set(drawn.tolist())) > 150 and drawn.min() < 600 and drawn.max() > 5400
+
+
+def test_kmeans_returns_the_wss_of_its_centres_or_raises(spark):
+    x = np.random.default_rng(4).normal(size=(500, 2))
+    points = spark.createDataFrame([(0, v.tolist()) for v in x], "grp int, vec array<double>")
+    centers, wss = cluster.batch_kmeans(points, {(0, 0): x[:5], (0, 1): x[5:12]})
+    for run, c in centers.items():
+        assert np.isclose(wss[run], ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum())
+    with pytest.raises(ArithmeticError):
+        cluster.batch_kmeans(points, {(0, 0): x[:5]}, max_iter=2)
+
+
+def test_forecast_keeps_a_row_without_predictor(spark):
+    day = dt.date(2020, 1, 1)
+    hist = spark.createDataFrame([(1, day + dt.timedelta(days=i), float(i)) for i in range(10)], "cluster int, ts date, value double")
+    new = spark.createDataFrame([(1, day + dt.timedelta(days=10 + i), None if i == 1 else 0.0) for i in range(4)], "cluster int, ts date, x double")
+    models = spark.createDataFrame([(1, [0.0, 1.0, 1.0])], "cluster int, coef array<double>")
+    got = [(r["ts"].day, r["prediction"]) for r in forecast.forecast_recursive(hist, new, models, ["x"], 2, 1).orderBy("ts").collect()]
+    assert [g[0] for g in got] == [11, 12, 13, 14] and got[0][1] == 8.0 and got[2][1] == 8.0
+    assert all(g[1] is None or np.isnan(g[1]) for g in (got[1], got[3]))
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_svr_shrinks_inside_the_tube(spark, by):
+    rows = [("line", float(i) / 10, 2.0 * i / 10) for i in range(-10, 11)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = svr.linear_svr(df, "y", ["x"], by, cost=100.0, epsilon=0.5).collect()
+    assert len(got) == 1
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+    def loss(a, b):
+        return 0.5 * b * b + 100 * (np.clip(np.abs(y - a - b * x) - 0.5, 0, None) ** 2).sum()
+
+    a, b = got[0]["coef"]
+    assert b < 1.6 and np.isclose(got[0]["objective"], loss(a, b))
+    assert loss(a, b) <= min(loss(p, q) for p in np.linspace(-0.1, 0.1, 21) for q in np.linspace(1.3, 2.0, 141)) + 1e-6
+
+
+@pytest.mark.parametrize("width", [357, 1000])
+def test_scores_of_wide_models(spark, width):
+    rng = np.random.default_rng(width)
+    x, coef = rng.normal(size=(5, width)), rng.normal(size=width + 1)
+    names = [f"x{k}" for k in range(width)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(g="a"))
+    models = spark.createDataFrame([("a", coef.tolist())], "g string, coef array<double>")
+    got = np.sort(linear.predict(df, models, names, ["g"]).toPandas()["prediction"])
+    assert np.allclose(got, np.sort(coef[0] + x @ coef[1:]))
+
+
+def test_few_groups_do_not_move_the_rows(spark, monkeypatch):
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).select(F.when(F.col("id") < 1800, 0).otherwise(F.col("id") % 5).alias("g"), F.col("id").cast("double").alias("value"))
+        few = window.zscore(df, "value", ["g"])
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(joins, "SMALL", 1)
+        many = window.zscore(df, "value", ["g"])
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_moments_of_many_groups_are_handed_on_early(spark, monkeypatch):
+
+    monkeypatch.setattr(moments, "CELL_BUDGET", 500)
+    names = [f"x{k}" for k in range(12)]
+    pdf = pd.DataFrame(RNG.normal(size=(400, 12)), columns=names).assign(g=np.arange(400) % 50)
+    cells = moments.gram(spark.createDataFrame(pdf), names, ["g"]).toPandas()
+    for g, part in cells.groupby("g"):
+        x = np.column_stack([np.ones(8), pdf[pdf.g == g][names].to_numpy()])
+        assert np.allclose(moments.gram_matrix(part, 13), x.T @ x)
+
+
+def test_t_tail_is_smooth_across_the_normal_limit():
+
+    for t in (0.5, 2.0, 5.0):
+        below, above = student.t_two_sided([t, t], [student.LARGE * 0.999, student.LARGE * 1.001])
+        assert np.isclose(below, above, rtol=1e-5)
