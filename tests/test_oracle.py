@@ -5,8 +5,6 @@ import pytest
 from panelcast.plans import catalog
 from tests.oracle import compare, duck
 
-HEAVY = {"q2_kmeans", "q3_elbow", "q5_gap_statistic", "o1_impute_pmm", "t5_random_forest", "t6_boosted_trees", "t7_linear_svr", "u9_fit_log"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -18,7 +16,7 @@ def test_matches_sql(spark, sf_dir, con, name):
     assert compare(catalog.QUERIES[name](spark, sf_dir), con, catalog.ORACLE[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
