@@ -7,7 +7,7 @@ The data is read once per fit; a solver only ever sees the p x p moments of its
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from panelcast.operators.joins import join_groups
 from panelcast.operators.moments import column_means, gram, gram_matrix, per_group
 from panelcast.operators.splits import hash_uniform
+from panelcast.session import cut_lineage
 
 COEF = T.StructField("coef", T.ArrayType(T.DoubleType()))
 
@@ -181,15 +182,55 @@ def fit_grid(
     return per_group(cells, by, solve, schema)
 
 
+#: Model numbers up to which all parameter points are sent to every task.
+MODEL_NUMBERS = 8_000_000
+
+
 def score_points(df: DataFrame, y: str, xs: Sequence[str], points: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Mean absolute error per (by, point): each row meets the models of its ``on`` group, errors are
-    averaged map-side, so the row-by-model product is streamed and never stored."""
-    models = points.select(*on, "point", "coef")
-    if on:
-        joined = df.join(models, list(on))
-    else:  # one row per parameter point, opened on every row
-        points_col = models.agg(F.collect_list(F.struct("point", "coef"))).scalar()
-        joined = df.withColumn("_p", points_col).select("*", F.inline("_p")).drop("_p")
+    """Mean absolute error per (by, point) of the models of each row's ``on`` group; rows with gaps count nowhere.
+
+    The models (as many numbers as groups x points x predictors, counted first) go to the tasks, where a
+    batch of rows meets all points of its group in one matrix product; only sums leave a task. Beyond
+    MODEL_NUMBERS the rows are joined to their models instead.
+    """
+    on, by, xs = list(on), list(by), list(xs)
+    models = cut_lineage(points.select(*on, "point", "coef"))
+    if models.count() * (len(xs) + 1) > MODEL_NUMBERS:
+        return _score_joined(df, y, xs, models, on, by)
+    held: dict = {}
+    for r in models.collect():
+        held.setdefault(tuple(r[k] for k in on), []).append((r["point"], r["coef"]))
+    shared = df.sparkSession.sparkContext.broadcast(
+        {k: (np.array([p for p, _ in v], dtype="int32"), np.array([c for _, c in v], dtype=float)) for k, v in held.items()}
+    )
+    keys = list(dict.fromkeys([*on, *by]))
+    schema = T.StructType([df.schema[k] for k in by] + [T.StructField("point", T.IntegerType()), T.StructField("_s", T.DoubleType()), T.StructField("_n", T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[["_y", *[f"_x{k}" for k in range(len(xs))]]].to_numpy(dtype=float)
+            whole = ~np.isnan(x).any(axis=1)
+            pdf, x = pdf[whole].reset_index(drop=True), x[whole]
+            groups = pdf.groupby(keys, sort=False, dropna=False).indices.items() if keys else [((), np.arange(len(pdf)))]
+            for key, at in groups:
+                row = dict(zip(keys, key if isinstance(key, tuple) else (key,)))
+                if not len(at) or (found := shared.value.get(tuple(row[k] for k in on))) is None:
+                    continue
+                names, coef = found
+                sums = np.zeros(len(names))
+                for a in range(0, len(at), 4096):
+                    part = x[at[a : a + 4096]]
+                    sums += np.abs(part[:, :1] - coef[:, 0] - part[:, 1:] @ coef[:, 1:].T).sum(axis=0)
+                yield pd.DataFrame({**{k: [row[k]] * len(names) for k in by}, "point": names, "_s": sums, "_n": np.full(len(names), len(at))})
+
+    rows = df.select(*keys, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(xs)])
+    sums = rows.mapInPandas(run, schema).groupBy(*by, "point").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return sums.select(*by, "point", (F.col("_s") / F.col("_n")).alias("mae"))
+
+
+def _score_joined(df: DataFrame, y: str, xs: Sequence[str], models: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The same by a join: errors are averaged map-side, so the row-by-model product is streamed and never stored."""
+    joined = df.join(models, list(on)) if on else df.withColumn("_p", models.agg(F.collect_list(F.struct("point", "coef"))).scalar()).select("*", F.inline("_p")).drop("_p")
     err = F.abs(F.col(y) - linear_score("coef", xs))
     return joined.groupBy(*by, "point").agg(F.avg(err).alias("mae"))
 

@@ -406,3 +406,19 @@ def test_t_tail_is_smooth_across_the_normal_limit():
     for t in (0.5, 2.0, 5.0):
         below, above = student.t_two_sided([t, t], [student.LARGE * 0.999, student.LARGE * 1.001])
         assert np.isclose(below, above, rtol=1e-5)
+
+
+@pytest.mark.parametrize("on", [["g"], []])
+def test_scores_of_points_by_product_and_by_join(spark, monkeypatch, on):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.normal(size=(300, 4)), columns=["y", "a", "b", "c"]).assign(g=np.arange(300) % 3)
+    pdf.loc[5, "b"] = np.nan
+    models = pd.DataFrame([(g, p, rng.normal(size=4).tolist()) for g in (range(3) if on else [0]) for p in range(5)], columns=["g", "point", "coef"])
+    points = spark.createDataFrame(models).withColumn("point", F.col("point").cast("int"))
+    df = spark.createDataFrame(pdf).withColumn("b", F.nanvl("b", F.lit(None).cast("double")))
+    fast = linear.score_points(df, "y", XS, points, on, on).toPandas()
+    monkeypatch.setattr(linear, "MODEL_NUMBERS", 0)
+    slow = linear.score_points(df, "y", XS, points, on, on).toPandas()
+    keys = [*on, "point"]
+    both = fast.merge(slow, on=keys)
+    assert len(both) == len(fast) == len(slow) == len(models) and np.allclose(both["mae_x"], both["mae_y"])
