@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Texts of these characters only are split by the standard library's faster matcher.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 MASK = (1 << 64) - 1
@@ -77,15 +77,30 @@ class PerfectHash:
         return self.order[s] if self.keys[s] == key else -1
 
 
+class Spelt(dict):
+    """Comma-joined ids of the pre-tokens met so far; one not met yet is spelt."""
+
+    def __init__(self, spell: Callable[[str], str]) -> None:
+        super().__init__()
+        self.spell = spell
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[token] = self.spell(token)
+        return ids
+
+
 class ByteBpe:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, tokens: list[tuple[bytes, int]], pattern: str) -> None:
         self.hash = PerfectHash([t for t, _ in tokens])
         self.ids = [i for _, i in tokens]
+        self.ranks = dict(tokens)
         self.pattern = pattern
         self.spelt = {str(i): t for t, i in tokens}
-        self.known: dict[str, str] = {}
+        self.known = Spelt(self.spell)
         self.split = self.plain = None
 
     @staticmethod
@@ -94,55 +109,58 @@ class ByteBpe:
             return ByteBpe([(base64.b64decode(a), int(b)) for a, b in map(bytes.split, lines)], pattern)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "split": None, "plain": None}
+        return self.__dict__ | {"known": None, "split": None, "plain": None}
 
-    def rank(self, token: bytes) -> int | None:
-        i = self.hash.find(token)
-        return None if i < 0 else self.ids[i]
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, known=Spelt(self.spell))
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token outside the vocabulary: the least rank, leftmost first, is merged until none is left."""
-        n = len(piece)
-        end = list(range(1, n + 1))
+        """Ids of a pre-token outside the vocabulary: the least rank, leftmost first, is merged until none is left.
+
+        Parts are linked by where they start and end; the heap has one number for each pair, and a pair
+        that has changed since no longer has the rank it was pushed with.
+        """
+        n, ranks = len(piece), self.ranks
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := self.rank(piece[i : i + 2])) is not None]
+        pair = [ranks.get(piece[i : i + 2]) for i in range(n - 1)] + [None]
+        heap = [r * n + i for i, r in enumerate(pair) if r is not None]
         heapify(heap)
         while heap:
-            _, i, stop = heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or end[j] != stop:
+            r, i = divmod(heappop(heap), n)
+            if pair[i] != r:
                 continue
-            end[i], alive[j], after[i] = stop, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := self.rank(piece[i : end[after[i]]])) is not None:
-                    heappush(heap, (r, i, end[after[i]]))
-            if (k := before[i]) >= 0 and (r := self.rank(piece[k:stop])) is not None:
-                heappush(heap, (r, k, stop))
+            j = after[i]
+            end = after[i] = after[j]
+            pair[j] = None
+            if end < n:
+                before[end] = i
+                pair[i] = r = ranks.get(piece[i : after[end]])
+                if r is not None:
+                    heappush(heap, r * n + i)
+            else:
+                pair[i] = None
+            if (k := before[i]) >= 0:
+                pair[k] = r = ranks.get(piece[k:end])
+                if r is not None:
+                    heappush(heap, r * n + k)
         out, i = [], 0
         while i < n:
-            out.append(self.rank(piece[i : end[i]]))
+            out.append(ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
     def spell(self, token: str) -> str:
         """Comma-joined ids of one pre-token."""
         piece = token.encode("utf-8", "surrogatepass")
-        whole = self.rank(piece)
-        return str(whole) if whole is not None else ",".join(map(str, self.merge(piece)))
+        whole = self.hash.find(piece)
+        return str(self.ids[whole]) if whole >= 0 else ",".join(map(str, self.merge(piece)))
 
     def encode(self, text: str) -> str:
         """Comma-joined ids of a whole text."""
         if self.split is None:
             self.split, self.plain = regex.compile(self.pattern).findall, re.compile(plain_pattern(self.pattern)).findall
         tokens = self.plain(text) if PLAIN.fullmatch(text) else self.split(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for token in [t for t in set(tokens) if t not in known]:
-            known[token] = self.spell(token)
-        return ",".join(map(known.__getitem__, tokens))
+        return ",".join(map(self.known.__getitem__, tokens))
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.spelt.__getitem__, ids.split(","))) if ids else b""
