@@ -34,10 +34,10 @@ def join_dates(df: DataFrame, dates: DataFrame, ts: str = "ts") -> DataFrame:
 def date_index(df: DataFrame, ts: str = "ts", name: str = "idx") -> DataFrame:
     """``(ts, idx)`` of the distinct dates, found in one pass and stored.
 
-    The index is built in two steps (within a year, plus the days of earlier years), so the only
-    window without a partition key runs over one row per calendar year.
+    The index is built in two steps (within a calendar stretch, plus all earlier stretches), so the
+    only window without a partition key runs over one row per year, or per day for timestamps.
     """
-    dates = cut_lineage(df.select(ts).where(F.col(ts).isNotNull()).distinct()).withColumn("_y", F.year(ts))
+    dates = cut_lineage(df.select(ts).where(F.col(ts).isNotNull()).distinct()).withColumn("_y", _stretch(df, ts))
     years = dates.groupBy("_y").agg(F.count("*").alias("_m"))
     before = W.orderBy("_y").rowsBetween(W.unboundedPreceding, -1)
     years = years.select("_y", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))

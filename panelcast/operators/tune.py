@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.metrics import fit_diagnosis, split_metrics
+from panelcast.operators.models.kernel import fourier_map, polynomial_columns
 from panelcast.operators.models.linear import fit, fit_grid, predict, score_points
 from panelcast.operators.rank import best_by
 
@@ -25,6 +27,34 @@ def grid_search(
     return out
 
 
+def family_search(
+    df: DataFrame, y: str, xs: Sequence[str], grid: Sequence[Mapping[str, float]], by: Sequence[str], family: str = "radial", split: str = "split", size: int = 64
+) -> DataFrame:
+    """Every (group, point) of a non-linear family: MSE on train and val, one moment pass for each feature map.
+
+    ``radial`` points have sigma and lambda (random Fourier features), ``poly`` points degree, scale and
+    lambda (monomials). Points that share a map share its moments; only their p x p sums are solved.
+    """
+    maps: dict[tuple, list[tuple[int, Mapping]]] = {}
+    for i, point in enumerate(grid):
+        maps.setdefault((point["sigma"],) if family == "radial" else (int(point["degree"]), float(point.get("scale", 1.0))), []).append((i, point))
+    out = []
+    for key, points in maps.items():
+        if family == "radial":
+            held = df.withColumn("_z", fourier_map(xs, key[0], size))
+            terms = {f"_z{k}": F.col("_z")[k] for k in range(size)}
+        else:
+            held, terms = df, polynomial_columns(xs, *key)
+        rows = held.select(*by, split, y, *[c.alias(n) for n, c in terms.items()])
+        fitted = fit_grid(rows, y, list(terms), [{"lambda": p["lambda"]} for _, p in points], by, "ridge", split)
+        number = F.array(*[F.lit(i) for i, _ in points])
+        out.append(fitted.select(
+            *by, number[F.col("point")].alias("point"), *[F.lit(float(v)).alias(n) for n, v in zip(("sigma",) if family == "radial" else ("degree", "scale"), key)],
+            "lambda", "coef", "mse_train", "mse_val",
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
 def refit_best(
     df: DataFrame, y: str, xs: Sequence[str], results: DataFrame, grid: Sequence[Mapping[str, float]], by: Sequence[str], kind: str = "ridge",
     split: str = "split",

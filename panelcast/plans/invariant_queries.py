@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.operators import cluster, correlate, impute, preprocess, splits, tune
+from panelcast.operators import cluster, correlate, forecast, impute, preprocess, reshape, splits, tune, window
 from panelcast.operators.models import kernel, linear, svr, tree
 from panelcast.plans.model_queries import HOLES, KEYS, QCOLS, SPLIT, split_feat
 from panelcast.plans.registry import query
@@ -200,3 +200,41 @@ def u9(t: Tables):
         kind: (lambda kind=kind, p=p: tune.per_entity(df, "y", FEATURES, ["grp"], kind, p)) for kind, p in (("ols", {}), ("ridge", {"lambda": 0.1}))
     })
     return out.select("run", ((F.col("started") > 0) & (F.col("seconds") > 0) & (F.col("mae_ratio") > 0)).alias("logged"))
+
+
+@query("u2_radial_search", "feat", "SELECT grp, CAST(40 AS BIGINT) AS points, TRUE AS nested, TRUE AS fitted FROM (SELECT DISTINCT grp FROM feat)")
+def u2_radial(t: Tables):
+    """40 points of the radial family per group: training error grows with the shrinkage and stays below the variance."""
+    grid = linear.param_grid(sigma=[0.02, 0.05, 0.1, 0.2, 0.5], **{"lambda": [1e-4, 1e-3, 1e-2, 0.03, 0.1, 0.3, 1.0, 3.0]})
+    df = split_feat(t).withColumn("y", F.col("y") / F.lit(1e4))
+    var = df.where("split = 'train'").groupBy("grp").agg(F.var_pop("y").alias("v"))
+    out = tune.family_search(df, "y", FEATURES, grid, ["grp"], "radial", size=32).join(var, "grp")
+    paths = out.groupBy("grp", "sigma", "v").agg(F.array_sort(F.collect_list(F.struct("lambda", "mse_train"))).alias("p"), F.count("*").alias("n"))
+    errors = F.transform("p", lambda x: x["mse_train"])
+    grows = F.forall(F.zip_with(F.slice(errors, 1, 7), F.slice(errors, 2, 7), lambda a, b: a <= b * (1 + 1e-9)), lambda x: x)
+    return paths.groupBy("grp").agg(F.sum("n").alias("points"), F.every(grows).alias("nested"), F.every(F.array_max(errors) <= F.col("v") * (1 + 1e-9)).alias("fitted"))
+
+
+@query("u2_poly_search", "feat", SPLIT.format(src="feat") + """, m AS (SELECT grp, COUNT(*) AS n, regr_slope(y / 1e4, quantity) AS b, regr_intercept(y / 1e4, quantity) AS a FROM sp WHERE split = 'train' GROUP BY grp)
+    SELECT grp, ROUND(AVG(pow(y / 1e4 - a - b * quantity, 2)), 5) AS mse_val FROM sp JOIN m USING (grp) WHERE split = 'val' GROUP BY grp""")
+def u2_poly(t: Tables):
+    """Validation error of the straight line among the polynomial points."""
+    df = splits.split_by_date(t.feat).withColumn("y", F.col("y") / F.lit(1e4))
+    grid = linear.param_grid(degree=[1, 2], scale=[0.1, 1.0], **{"lambda": [1e-12, 0.1]})
+    out = tune.family_search(df, "y", ["quantity"], grid, ["grp"], "poly")
+    return out.where("degree = 1 and scale = 1 and lambda < 1e-6").select("grp", F.round("mse_val", 5).alias("mse_val"))
+
+
+@query("pipeline_forecast", "cents clusters", """, d AS (SELECT cluster, MAX(ts) AS last FROM cents JOIN clusters USING (entity) GROUP BY cluster)
+    SELECT ts, COUNT(*) AS entities, CAST(0 AS BIGINT) AS gaps FROM (SELECT entity, last + CAST(h AS INTEGER) AS ts FROM clusters JOIN d USING (cluster), range(1, 61) x(h)) GROUP BY ts""")
+def pipeline_forecast(t: Tables):
+    """From the panel to the submission: cluster means, lags, ridge per cluster, recursive forecast, one column per entity."""
+    xs = window.lag_names(30, 5)
+    mean = cluster.cluster_mean(t.cents, t.clusters).select("cluster", "ts", "value")
+    lagged = window.add_lags(mean, 30, 5, entity=["cluster"])
+    models = linear.fit(lagged, "value", xs, ["cluster"], "ridge", {"lambda": 0.01})
+    future = forecast.future_dates(mean, 60, ["cluster"])
+    scored = forecast.forecast_recursive(mean, future, models, (), 30, 5, ["cluster"])
+    wide = forecast.submission(scored, t.clusters, reshape.factor_levels(t.clusters, "entity"))
+    rows = reshape.open_entities(wide)
+    return rows.groupBy("ts").agg(F.count("*").alias("entities"), F.count_if(F.col("value").isNull() | F.isnan("value")).alias("gaps"))
