@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -16,7 +17,7 @@ from panelcast.session import cut_lineage
 #: Labelled rows a language is learned from at most, taken in the order of a hash of the id.
 ROWS_PER_LANGUAGE = 2000
 #: Byte classes: the most frequent bytes have one each, the last one is shared by all others.
-CLASSES = 64
+CLASSES = 48
 #: Length of the longest context.
 ORDER = 3
 #: Code lengths are kept in units of 1/512 bit.
@@ -154,6 +155,7 @@ def identify(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
         for batch in batches:
             said = [ppm.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], ["id", "lang_pred", "score"])
+        ppm.table = None  # a worker that goes on to other tasks doesn't keep it
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
 
@@ -166,11 +168,11 @@ def held_out(id_col: str = "doc_id"):
 def keep_identified(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose language is ``und``: null texts and texts without letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def identified(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ppm = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array([ppm.predict(t.as_py())[0] != "und" for t in batch.column(at)], pa.bool_()))
+        for texts in parts:
+            yield pd.Series([ppm.predict(t)[0] != "und" for t in texts], dtype=bool)
+        ppm.table = None
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.pandas_udf(identified, "boolean")(F.col(text_col).cast("string")))
