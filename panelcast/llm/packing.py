@@ -19,7 +19,7 @@ CAPACITY = 4096
 #: The id after each document.
 END = 1
 #: Words a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 #: Texts of these characters only are split here; all others go to the tokenizer whole.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -27,6 +27,20 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\s0-9a-zà-öø-ÿß]+")
 
 
+class Words(dict):
+    """Ids of the words met so far, as bytes; a word not met yet is encoded."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return ids
+
+
 class WordTokens:
     """Ids of texts under a lower-casing word-level BPE file; words once encoded are remembered."""
 
@@ -36,20 +50,12 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if not PLAIN.fullmatch(text):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-                continue
-            words = WORDS.findall(text.lower())
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            if new := [w for w in set(words) if w not in self.known]:
-                for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+        self.known = Words(self.tokenizer)
+
+    def encode(self, text: str) -> np.ndarray:
+        if not PLAIN.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, WORDS.findall(text.lower()))), dtype="<u4")
 
 
 @cache
@@ -57,32 +63,36 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = True
+) -> DataFrame:
     """(id, piece, start, length, ids_crc32, ids): the tokens of each document and ``end``, cut only where longer than ``capacity``.
 
-    A null or empty text is the one id ``end``.
+    A null or empty text is the one id ``end``. Without ``with_ids`` the ids stay in the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            names = batch.column(0).to_pylist()
-            for name, ids in zip(names, encoder.encode([t.as_py() or "" for t in batch.column(1)]), strict=True):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
+            parts: list[np.ndarray] = []
+            for name, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.append(encoder.encode(cell.as_py() or ""), np.uint32(end)).astype("<u4", copy=False)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
-                    rows.append((name, k, at, len(part), zlib.crc32(part.tobytes()), part))
+                    rows.append((name, k, at, len(part), zlib.crc32(part)))
+                    if with_ids:
+                        parts.append(part)
             if rows:
                 cols = list(zip(*rows, strict=True))
-                flat = pa.ListArray.from_arrays(np.cumsum([0, *cols[3]]).astype(np.int32), pa.array(np.concatenate(cols[5]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5]), flat],
-                    ["id", "piece", "start", "length", "ids_crc32", "ids"],
-                )
+                arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(np.cumsum([0, *cols[3]]).astype(np.int32), pa.array(np.concatenate(parts).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+        encoder.known.clear()  # a worker that goes on to other tasks doesn't keep it
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def fill(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -204,5 +214,5 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of every document, with its place in a sequence. An empty table gives no rows."""
-    parts = pieces(docs, tokenizer, id_col, text_col, capacity).drop("ids")
+    parts = pieces(docs, tokenizer, id_col, text_col, capacity, with_ids=False)
     return pack(cut_lineage(parts), capacity).withColumnRenamed("id", "doc_id")
