@@ -122,7 +122,12 @@ def _names(text_col: str):
 
 
 def _tuples(texts: DataFrame, length: int) -> DataFrame:
-    """One row for each sample: (gram, around, h1, h2, at); ``at`` is odd for texts with copies, which are decided."""
+    """One row for each sample: (gram, around, h1, h2, at); ``at`` is odd for texts with copies, which are decided.
+
+    Samples that agree in gram and surroundings inside a batch settle each other there: they pass on
+    with a negative ``at``, and one of them stays as a decided row for the other batches. So a string
+    that fills many texts, or a text with a short period, sends a row for each batch and not for each place.
+    """
     w = span(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +148,19 @@ def _tuples(texts: DataFrame, length: int) -> DataFrame:
                 for store, x in zip(cols, found, strict=True):
                     store.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["gram", "around", "h1", "h2", "at"])
+                gram, around, h1, h2, at = (np.concatenate(c) for c in cols)
+                order = np.lexsort((around, gram))
+                same = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (around[order][1:] == around[order][:-1])]
+                twice = np.zeros(len(gram), dtype=bool)
+                twice[order] = same | np.r_[same[1:], False]
+                later = np.zeros(len(gram), dtype=bool)
+                later[order] = same
+                sure = np.flatnonzero(twice & (at & 1 == 0))
+                at_sure = -1 - at[sure]
+                at = np.where(twice, at | 1, at)
+                rest = np.flatnonzero(~later)
+                out = [np.concatenate([x[rest], y]) for x, y in ((gram, h1[sure]), (around, h2[sure]), (h1, h1[sure]), (h2, h2[sure]), (at, at_sure))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "around", "h1", "h2", "at"])
 
     return texts.where(F.octet_length("text") >= length).mapInArrow(run, "gram long, around long, h1 long, h2 long, at long")
 
@@ -185,6 +202,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h1[keep]), pa.array(h2[keep]), pa.array((at[keep] >> 1 << 2) | code[keep])], ["h1", "h2", "code"])
 
     for batch in batches:
+        at = batch.column("at").to_numpy()
+        if (sure := at < 0).any():
+            done = batch.filter(pa.array(sure))
+            yield pa.RecordBatch.from_arrays([done.column("h1"), done.column("h2"), pa.array((-1 - at[sure] >> 1 << 2) | 2)], ["h1", "h2", "code"])
+            batch = batch.filter(pa.array(~sure))
         if batch.num_rows:
             table = pa.Table.from_batches([*held, batch]).combine_chunks()
             held = table.slice(table.num_rows - 1).to_batches()
