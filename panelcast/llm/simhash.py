@@ -19,29 +19,44 @@ from panelcast.session import cut_lineage
 TILE = 8192
 #: Shingles whose bits are unpacked at a time.
 STEP = 1 << 15
-#: Numbers in the fingerprint of ``keep_one``, differing bits allowed in all of them and in the first.
-SIZE, SIMILAR, FIRST = 4, 48, 20
+#: Numbers in the fingerprint of ``keep_one``, differing bits up to which a pair is looked at, in the first number and in all of them.
+SIZE, FIRST, LOOKED = 4, 24, 76
+#: Words of a shingle in ``keep_one``.
+WORDS = 5
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42, size: int = 1) -> np.ndarray:
-    """SimHash of the word shingles of a whole text as ``size`` unsigned 64-bit numbers; zero for a text without words.
-
-    A-Z are lower-cased, words are runs without ASCII white space, shingles are joined by one space
-    and hashed by XXH64; a bit is set if more than half of the shingles (repeats included) set it.
-    Numbers beyond the first take their bits from a mix of the same hash.
-    """
+def shingles(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles of a text, STEP at a time; a text of fewer words is one shingle, one without words has none."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return np.zeros(size, dtype=np.uint64)
+        return
     words = min(words, len(found))
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1)
     n = len(found) - words + 1
     starts = np.concatenate(([0], ends[: n - 1]))
     stops = ends[words - 1 :] - 1
-    digest, counts = xxhash.xxh64_intdigest, np.zeros((size, 64), dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, STEP):
-        hashes = np.array([digest(line[s:e], seed) for s, e in zip(starts[at : at + STEP].tolist(), stops[at : at + STEP].tolist(), strict=True)], dtype="<u8")
+        yield np.array([digest(line[s:e], seed) for s, e in zip(starts[at : at + STEP].tolist(), stops[at : at + STEP].tolist(), strict=True)], dtype="<u8")
+
+
+def shingle_set(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of ``shingles`` in order."""
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *shingles(text, words, seed)]))
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, size: int = 1, once: bool = False) -> np.ndarray:
+    """SimHash of the word shingles of a whole text as ``size`` unsigned 64-bit numbers; zero for a text without words.
+
+    A-Z are lower-cased, words are runs without ASCII white space, shingles are joined by one space
+    and hashed by XXH64; a bit is set if more than half of the shingles set it: repeats included, or
+    each counted ``once``. Numbers beyond the first take their bits from a mix of the same hash.
+    """
+    n, counts = 0, np.zeros((size, 64), dtype=np.int64)
+    whole = shingle_set(text, words, seed) if once else None
+    for hashes in shingles(text, words, seed) if whole is None else (whole[at : at + STEP] for at in range(0, len(whole), STEP)):
+        n += len(hashes)
         for k in range(size):
             counts[k] += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
             if k + 1 < size:
@@ -51,13 +66,13 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, size: int = 1)
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, size: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, size: int = 1, once: bool = False) -> DataFrame:
     """(id, fp, more): signed 64-bit numbers of the fingerprint of each row, the first one apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                fps = np.stack([fingerprint(t.as_py(), words, seed, size) for t in batch.column(1)]).view(np.int64)
+                fps = np.stack([fingerprint(t.as_py(), words, seed, size, once) for t in batch.column(1)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0].copy()), listed(fps[:, 1:])], ["id", "fp", "more"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -90,11 +105,38 @@ def forest(ids: np.ndarray, ids2: np.ndarray, pairs: Iterator[tuple[np.ndarray,
     return [(int(names[k]), int(names[label[k]])) for k in np.flatnonzero(label != np.arange(len(names)))]
 
 
-def near_edges(distinct: DataFrame, radius: int = 2, total: int = 2, tile: int = TILE) -> DataFrame:
-    """Spanning edges (u, v) between near rows of ``distinct`` (id, fp, more: each fingerprint once).
+def linking(ids: np.ndarray, ids2: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Those of the pairs, as ids, that join what the pairs before left apart."""
+    names, where = np.unique(np.concatenate([ids, ids2]), return_inverse=True)
+    own, other = where[: len(ids)], where[len(ids) :]
+    label = np.arange(len(names))
+    for i, j in pairs:
+        a, b = label[own[i]], label[other[j]]
+        if not (new := a != b).any():
+            continue
+        i, j, root = i[new], j[new], {}
+
+        def top(x: int, root: dict[int, int] = root) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        ends, first = np.unique(np.column_stack([a[new], b[new]]), axis=0, return_index=True)
+        for (x, y), k in zip(ends.tolist(), first.tolist(), strict=True):
+            if (x := top(x)) != (y := top(y)):
+                root[max(x, y)] = min(x, y)
+                yield int(ids[i[k]]), int(ids2[j[k]])
+        changed = np.arange(len(names))
+        for x in root:
+            changed[x] = top(x)
+        label = changed[label]
+
+
+def tile_units(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """(ids, fps, ids2, fps2): pairs of tiles that may hold near rows of ``distinct`` (id, fp, more: each fingerprint once).
 
-    Near rows differ in at most ``radius`` bits of ``fp`` and ``total`` bits altogether. Fingerprints
-    are laid out in tiles by the population counts of the two halves of ``fp``, in ranges that widen
+    Fingerprints are laid out in tiles by the population counts of the two halves of ``fp``, in ranges that widen
     with the radius. The sum of the two count differences never exceeds the number of differing bits,
     so tile pairs beyond the radius are skipped; every other pair of tiles is compared exactly. The
     table of counts has at most 33 x 33 rows, whatever the input.
@@ -119,7 +161,11 @@ def near_edges(distinct: DataFrame, radius: int = 2, total: int = 2, tile: int =
         .where("(a, b) <> (c, d) or t <= w")
     )
     right = packed.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("t").alias("w"), F.col("ids").alias("ids2"), F.col("fps").alias("fps2"))
-    units = left.join(right, ["c", "d", "w"]).select("ids", "fps", "ids2", "fps2")
+    return left.join(right, ["c", "d", "w"]).select("ids", "fps", "ids2", "fps2")
+
+
+def near_edges(distinct: DataFrame, radius: int = 2, total: int = 2, tile: int = TILE) -> DataFrame:
+    """Spanning edges (u, v) between near rows of ``distinct``: those that differ in at most ``radius`` bits of ``fp`` and ``total`` bits altogether."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +176,56 @@ def near_edges(distinct: DataFrame, radius: int = 2, total: int = 2, tile: int =
                     u, v = zip(*edges, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return units.mapInArrow(run, "u long, v long")
+    return tile_units(distinct, radius, tile).mapInArrow(run, "u long, v long")
+
+
+def near_pairs(distinct: DataFrame, radius: int, total: int, labelled: bool = False, tile: int = TILE) -> DataFrame:
+    """(u, v): near rows of ``distinct`` as they are, each pair once.
+
+    Without labels a task gives as many pairs as connect what is near in its two tiles. With
+    ``labelled`` the last number of ``more`` is a label, and all near rows of different labels pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, ids2 = (np.asarray(batch.column(c)[k].values) for c in (0, 2))
+                fps, fps2 = (matrix(batch.column(c)[k].values).view(np.uint64) for c in (1, 3))
+                if labelled:
+                    label, label2 = fps[:, -1], fps2[:, -1]
+                    for i, j in close_pairs(np.ascontiguousarray(fps[:, :-1]), np.ascontiguousarray(fps2[:, :-1]), radius, total):
+                        apart = label[i] != label2[j]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i[apart]]), pa.array(ids2[j[apart]])], ["u", "v"])
+                elif pairs := list(linking(ids, ids2, close_pairs(fps, fps2, radius, total))):
+                    u, v = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    found = tile_units(distinct, radius, tile).mapInArrow(run, "u long, v long").where("u <> v")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``pairs`` (u, v: ids) whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, read from the whole texts."""
+    ids = cut_lineage(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_CELLS else ids.hint("merge")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+    left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("a")), texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
+    both = pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").select("u", "v", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, b = None, np.zeros(0, dtype="<u8")
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a = shingle_set(x.as_py())
+                if (text := y.as_py()) != last:
+                    last, b = text, shingle_set(text)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(bool(common) and 5 * common >= 4 * (len(a) + len(b) - common))
+            chosen = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long").distinct()
 
 
 def simhash_groups(
@@ -152,12 +247,29 @@ def simhash_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but the least id of each group of near duplicates (five-word shingles, similarity 0.8 or more).
 
-    The share of bits in which two fingerprints differ estimates the angle between the shingle
-    vectors. At a Jaccard similarity of 0.8 it is 0.15 on average, so of 256 bits 39 (deviation 6);
-    unrelated texts differ in 128 (deviation 8). Up to SIMILAR bits count as near. Rows that share an
-    id are one document and go or stay together; rows with a null id stay.
+    Fingerprints only choose the pairs to look at; the sets of shingles of the whole texts decide. The
+    share of bits in which two fingerprints differ estimates the angle between the shingle sets. At a
+    similarity of 0.8 it is 0.15 on average, so of 256 bits 39 (deviation 6), and 0.19 for texts of
+    four and five shingles, 48 bits (deviation 6); LOOKED is 4.5 deviations above, and unrelated texts
+    differ in 128 (deviation 8). Pairs that connect what is near are decided first; where one of them
+    fails, every other pair that could connect the same texts is decided too. Rows that share an id
+    are one document and go or stay together; rows with a null id stay.
     """
-    groups = simhash_groups(docs, id_col, text_col, words=5, radius=FIRST, size=SIZE, total=SIMILAR)
+    named = docs.where(F.col(id_col).isNotNull())
+    fps = cut_lineage(fingerprints(named, id_col, text_col, WORDS, size=SIZE, once=True))
+    distinct = cut_lineage(fps.groupBy("fp", "more").agg(F.min("id").alias("id")))
+    tried = cut_lineage(near_pairs(distinct, FIRST, LOOKED))
+    links = cut_lineage(similar(tried, named, id_col, text_col))
+    comp = components(links)
+    if links.count() < tried.count():
+        comp = cut_lineage(comp)
+        nodes = tried.select(F.col("u").alias("id")).union(tried.select("v")).distinct().join(comp, F.col("id") == comp["node"], "left")
+        label = nodes.select("id", F.coalesce("component", "id").alias("label"))
+        again = distinct.join(label, "id").select("id", "fp", F.concat("more", F.array("label")).alias("more"))
+        rest = cut_lineage(near_pairs(again, FIRST, LOOKED, labelled=True).join(tried, ["u", "v"], "left_anti"))
+        comp = components(links.union(similar(rest, named, id_col, text_col)))
+    group = distinct.join(comp, distinct["id"] == comp["node"], "left").select("fp", "more", F.coalesce("component", "id").alias("component"))
+    groups = fps.join(group, ["fp", "more"]).select("id", "component")
     gone = cut_lineage(groups.where("id <> component").select(F.col("id").alias("_gone")).distinct())
     few = gone.count() <= BROADCAST_CELLS
     return docs.join(F.broadcast(gone) if few else gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")

@@ -122,6 +122,39 @@ def test_keep_one_finds_near_copies_and_keeps_the_rest(spark):
     assert kept == set(range(60))
 
 
+def near_copy(words, shared, rng):
+    """A text with ``shared`` of the five-word shingles of ``words``, the rest of its words new."""
+    return " ".join([*words[: shared + 4], *(f"new{rng.getrandbits(60)}" for _ in range(len(words) - shared - 4))])
+
+
+@pytest.mark.parametrize("percent", [70, 79, 80, 85])
+def test_keep_one_decides_by_the_similarity_of_the_texts(spark, percent):
+    """Of 2 * 1790 shingles in each pair of texts a share is common that gives the named similarity, or just misses it."""
+    rng = random.Random(percent)
+    n, texts = 1790, []
+    shared = -(-2 * n * percent // (100 + percent))  # common / (2 n - common) >= percent / 100
+    for _ in range(30):
+        w = [f"w{rng.getrandbits(60)}" for _ in range(n + 4)]
+        texts += [" ".join(w), near_copy(w, shared, rng)]
+    sets = [simhash.shingle_set(t) for t in texts]
+    same = [np.isin(a, b).sum() / len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(percent / 100 <= x < percent / 100 + 0.001 for x in same)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()}
+    assert kept == set(range(0, 60, 2) if percent >= 80 else range(60))
+
+
+def test_keep_one_decides_every_pair_that_may_join_groups(spark):
+    """A chain: neighbours are at 0.9, texts further off below 0.8, all of them near by their bits."""
+    rng = random.Random(11)
+    w = [f"w{rng.getrandbits(60)}" for _ in range(400)]
+    texts = [" ".join(w[k : k + 300]) for k in range(0, 90, 15)]
+    apart = [" ".join(w[k : k + 300]) for k in range(0, 100, 50)]
+    assert [r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()] == [0]
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, apart)).collect()} == {0, 1}
+    short = ["a b c d e f g h i", "a b c d e f g h", "a b c d e f g", None, ""]
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, short)).collect()} == {0, 2, 3}
+
+
 # 4 language ID
 
 
