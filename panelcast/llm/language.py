@@ -16,8 +16,8 @@ from panelcast.session import cut_lineage
 
 #: Labelled rows a language is learned from at most, taken in the order of a hash of the id.
 ROWS_PER_LANGUAGE = 2000
-#: Byte classes: the most frequent bytes have one each, the last one is shared by all others.
-CLASSES = 48
+#: Symbols: every byte is its own.
+CLASSES = 256
 #: Length of the longest context.
 ORDER = 3
 #: Code lengths are kept in units of 1/512 bit.
@@ -29,55 +29,54 @@ LETTER = regex.compile(r"\p{L}")
 
 @dataclass
 class PpmModel:
-    """Frozen context trees of all languages: for each language the counts of its longest contexts."""
+    """Frozen context trees of all languages: for each language the sorted longest contexts with their symbol, and their counts.
+
+    Tables hold what was seen in the sample only, so the sample bounds them and not the alphabet.
+    """
 
     langs: list[str]
     classes: np.ndarray
     grams: list[np.ndarray]
     counts: list[np.ndarray]
-    table: np.ndarray | None = field(default=None, repr=False)
+    table: tuple[np.ndarray, np.ndarray, list] | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
-    def costs(self) -> np.ndarray:
-        """Code length of the last class of each (ORDER + 1)-gram, in one row for all languages.
-
-        A context that was seen codes a known symbol with n / (t + d) and escapes to the next shorter
-        context with d / (t + d): t symbols and d distinct ones were seen in it. A context never seen
-        hands over at no cost; below the empty context all classes are equally likely.
-        """
+    def costs(self) -> tuple[np.ndarray, np.ndarray, list]:
+        """Sorted (ORDER + 1)-grams of any language, the code lengths of their last byte in one row for all languages, and the trees."""
         if self.table is None:
-            size = CLASSES ** (ORDER + 1)
-            table = np.empty((size, -(-len(self.langs) // 4) * 4), dtype=np.int16)
-            for i in range(len(self.langs)):
-                grams, counts = self.grams[i], self.counts[i].astype(np.float64)
-                cost = np.full(1, np.log2(CLASSES))
+            trees = []
+            for grams, counts in zip(self.grams, self.counts, strict=True):
+                levels = []
                 for order in range(ORDER + 1):
-                    keys, where = np.unique(grams % CLASSES ** (order + 1), return_inverse=True)
-                    n = np.bincount(where, counts)
-                    contexts = CLASSES**order
-                    t = np.bincount(keys // CLASSES, n, minlength=contexts)
-                    d = np.bincount(keys // CLASSES, minlength=contexts)
-                    escape = np.where(t > 0, -np.log2(np.maximum(d, 1) / np.maximum(t + d, 1)), 0.0)
-                    shorter = cost if order else np.repeat(cost, CLASSES)
-                    cost = (escape.reshape(-1, max(1, len(shorter) // CLASSES), 1).astype(np.float32) + shorter.reshape(1, -1, CLASSES).astype(np.float32)).ravel()
-                    cost[keys] = -np.log2(n / (t + d)[keys // CLASSES])
-                table[:, i] = np.minimum(cost * UNIT, 32767).astype(np.int16)
-            table[:, len(self.langs) :] = 32767
-            self.table = table.view(np.int64)
+                    keys, where = np.unique(grams.astype(np.int64) % CLASSES ** (order + 1), return_inverse=True)
+                    n = np.bincount(where, counts.astype(np.float64))
+                    contexts, at = np.unique(keys // CLASSES, return_inverse=True)
+                    t, d = np.bincount(at, n), np.bincount(at)
+                    levels.append((keys.astype(np.uint32), -np.log2(n / (t + d)[at]), contexts.astype(np.uint32), -np.log2(d / (t + d))))
+                trees.append(levels)
+            seen = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *(levels[-1][0] for levels in trees)]))
+            self.table = seen, rows_of(seen, trees), trees
         return self.table
 
     def bits(self, text: bytes) -> np.ndarray:
         """Code length of a whole text under each language."""
         total = np.zeros(len(self.langs), dtype=np.int64)
-        table = self.costs()
+        seen, table, trees = self.costs()
         for at in range(0, len(text), STEP):
             codes = grams_of(text, self.classes, at, at + STEP)
+            place = np.searchsorted(seen, codes)
+            place[place == len(seen)] = 0
+            known = seen[place] == codes
+            place = place[known]
             for k in range(table.shape[1]):
-                part = np.take(table[:, k], codes).view(np.int16).reshape(-1, 4)
+                part = np.take(table[:, k], place).view(np.int16).reshape(-1, 4)
                 own = slice(4 * k, min(4 * k + 4, len(self.langs)))
                 total[own] += part.sum(axis=0, dtype=np.int64)[: own.stop - own.start]
+            if len(place) < len(codes):
+                new, n = np.unique(codes[~known], return_counts=True)
+                total += n @ rows_of(new, trees).view(np.int16)[:, : len(self.langs)].astype(np.int64)
         return total / UNIT
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -89,12 +88,38 @@ class PpmModel:
         return self.langs[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
 
 
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``asked`` in the sorted ``keys``, and whether each is there."""
+    place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return place, keys[place] == asked
+
+
+def rows_of(codes: np.ndarray, trees: list) -> np.ndarray:
+    """Code length of the last byte of each (ORDER + 1)-gram, in one row for all languages, four to a number.
+
+    A context that was seen codes a known symbol with n / (t + d) and escapes to the next shorter
+    context with d / (t + d): t symbols and d distinct ones were seen in it. A context never seen
+    hands over at no cost; below the empty context all bytes are equally likely.
+    """
+    rows = np.full((len(codes), -(-len(trees) // 4) * 4), 32767, dtype=np.int16)
+    for i, levels in enumerate(trees):
+        cost = np.full(len(codes), np.log2(CLASSES))
+        for order, (keys, known, contexts, escape) in enumerate(levels):
+            tails = (codes.astype(np.int64) % CLASSES ** (order + 1)).astype(np.uint32)
+            place, there = _find(contexts, tails // np.uint32(CLASSES))
+            cost += np.where(there, escape[place], 0.0)
+            place, there = _find(keys, tails)
+            cost = np.where(there, known[place], cost)
+        rows[:, i] = np.minimum(cost * UNIT, 32767)
+    return rows.view(np.int64)
+
+
 def grams_of(text: bytes, classes: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
     """Codes of the (ORDER + 1)-grams that end at bytes ``start`` to ``stop``; blanks stand before the text."""
     stop = len(text) if stop is None else min(stop, len(text))
     lead = max(0, ORDER - start)
     b = np.frombuffer(b" " * lead + text[max(0, start - ORDER) : stop], dtype=np.uint8)
-    c = classes[b].astype(np.int32)
+    c = classes[b].astype(np.uint32)
     n = stop - start
     code = c[:n].copy()
     for k in range(1, ORDER + 1):
@@ -107,8 +132,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Context trees from at most ``rows`` whole texts of each language (null and empty ones are left out).
 
     The sample is the ids with the least hash, so it does not depend on how the rows are dealt; the
-    texts are counted on the executors. The driver gets byte totals and, per language, at most
-    CLASSES ** (ORDER + 1) counts.
+    texts are counted on the executors. The driver gets, per language, the distinct (ORDER + 1)-grams
+    of the sample and their counts.
     """
     spark = docs.sparkSession
     good = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
@@ -119,17 +144,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         good.join(F.broadcast(chosen), F.col(id_col) == F.col("id"), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     )
 
-    def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.zeros(256, dtype=np.int64)
-            for cell in batch.column(1):
-                total += np.bincount(np.frombuffer(cell.as_buffer(), dtype=np.uint8), minlength=256)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
-
-    seen = sample.mapInArrow(count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    common = [r["byte"] for r in sorted(seen, key=lambda r: (-r["n"], r["byte"])) if r["n"]][: CLASSES - 1]
-    classes = np.full(256, CLASSES - 1, dtype=np.uint8)
-    classes[common] = np.arange(len(common))
+    classes = np.arange(CLASSES, dtype=np.uint8)
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +153,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 by.setdefault(lang, []).append(grams_of(cell.as_py(), classes))
             for lang, found in by.items():
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     got = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names, grams, counts = (got.column(k).to_numpy(zero_copy_only=False) for k in range(3))

@@ -181,6 +181,18 @@ def test_ppm_costs_match_a_plain_recursion(spark):
         assert np.allclose(model.bits(text), want, atol=len(text) / language.UNIT)
 
 
+def test_every_byte_keeps_its_symbol(spark):
+    """Two languages that differ in rare letters only, beside a sample rich in other bytes."""
+    letters = [chr(0x100 + k) for k in range(60)] + [chr(c) for c in range(33, 127)]
+    plain = ["".join(random.Random(i).choices(letters, k=400)) for i in range(20)]
+    first = docs_of(spark, [*plain, "Q\u0411 " * 3], lang="one")
+    model = language.learn(first.union(docs_of(spark, [*plain, "Q\u0412 " * 3], lang="two")))
+    assert len(set(model.classes.tolist())) == language.CLASSES == 256
+    assert [model.predict(t)[0] for t in ("\u0411 \u0411", "\u0412 \u0412")] == ["one", "two"]
+    everything = bytes(range(256)) * 3
+    assert np.array_equal(language.grams_of(everything, model.classes)[3:], [int.from_bytes(everything[i : i + 4], "big") for i in range(len(everything) - 3)])
+
+
 def test_chunks_do_not_change_a_code_length(spark, monkeypatch):
     model = language.learn(docs_of(spark, ["one two three four", "five six"]))
     text = ("seven eight nine " * 50).encode()
