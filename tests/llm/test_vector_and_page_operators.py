@@ -186,6 +186,34 @@ def test_markup_zones():
     assert html.lines_of("<a '" * 20_000)
 
 
+def test_custom_and_closed_elements_are_no_raw_text():
+    page = "<svg-icon></svg-icon><p>one</p><title-bar>two</title-bar><select-menu><p>three</p></select-menu><svg viewBox='0 0 1 1'/><p>four</p><math/><svg><text>no</text></svg><p>five</p><script/>no"
+    assert [t for t, _ in html.lines_of(page)] == ["one", "two", "three", "four", "five"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='layout has-sidebar'><p>text</p></div>", ["text"]),
+        ("<div class='layout has-sidebar'><article>text</article><aside>no</aside></div>", ["text"]),
+        ("<article class='post comments-open'>text</article>", ["text"]),
+        ("<article class='tag-cookies'>text</article>", ["text"]),
+        ("<div class='page-sidebar-layout'>no<article>text</article></div>", ["text"]),
+        ("<div id=social><main>text</main>no</div>", ["text"]),
+        ("<main class=widget><p>text<div class=comments>no</div></main>", ["text"]),
+        ("<article>text</article><div class=comments><article class=comment>no</article></div>", ["text"]),
+        ("<article>text<div class=comments><article class=comment>no</article></div></article>", ["text"]),
+        ("<main><article class='post comments-open'>text</article><div class='related'><article>no</article></div></main>", ["text"]),
+        ("<nav><article>no</article></nav>text<div class=ad>no</div>", ["text"]),
+        ("<div class=site-wrap-widget>text</div>", ["text"]),
+    ],
+)
+def test_class_words_do_not_outweigh_articles(page, want):
+    lines = html.lines_of(page)
+    left = html.undecided(lines)
+    assert [t for i, (t, zone) in enumerate(lines) if zone == html.INSIDE or i in left] == want
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
