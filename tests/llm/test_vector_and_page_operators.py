@@ -235,3 +235,22 @@ def test_pages_without_articles_lose_shared_lines(spark):
     assert all(got[i] == f"own text {i} more {i}" for i in range(9000))
     assert [got[i] for i in range(9500, 9505)] == ["same", "same", "", "", "Site menu"]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_near_copies_do_not_delete_each_other(spark):
+    """Two copies that differ in one line, alone on a host and beside other pages of it."""
+    body = "".join(f"<p>a line of the article, number {k}" for k in range(8))
+    pages = [(0, "http://a.org/x/1", f"{body}<p>version one"), (1, "http://a.org/x/2", f"{body}<p>version two")]
+    pages += [(2, "http://b.org/x/1", f"<p>Site menu{body}<p>version one"), (3, "http://b.org/x/2", f"<p>Site menu{body}<p>version two")]
+    pages += [(4, "http://b.org/y/1", "<p>Site menu<p>another text, which is its own"), (5, "http://b.org/z/1", "<p>Site menu<p>a third text with other words")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    article = " ".join(f"a line of the article, number {k}" for k in range(8))
+    for i in (0, 2):
+        assert [got[i], got[i + 1]] == [f"{article} version one", f"{article} version two"]
+    assert [got[4], got[5]] == ["another text, which is its own", "a third text with other words"]
+
+
+def test_nearest_pages_by_common_path():
+    page = [{"host": "h", "path": x} for x in ("/a", "/b/1", "/b/1/x", "/b/1/y", "/c")] + [{"host": "i", "path": "/c"}]
+    assert [q["path"] for q in html._nearest(page, 2)] == ["/b/1/y", "/b/1", "/a", "/c"]
