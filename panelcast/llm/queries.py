@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, html, language, lines, lsh, neighbors, packing, repeats, resample, simhash, urls
+from panelcast.llm import align, bpe, html, language, lines, lsh, neighbors, packing, repeats, resample, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,6 +97,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in the archives says."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under two tokenizers, and how common its linked id pairs are."""
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.aligned(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and score of every document towards the benchmark texts, and the rank of those drawn."""
