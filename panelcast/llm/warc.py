@@ -8,8 +8,10 @@ import re
 import uuid
 import zlib
 from base64 import b32decode, b32encode
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,11 @@ from panelcast.operators.ordering import ranged_totals
 from panelcast.session import cut_lineage, scratch_path
 
 #: Compressed bytes after which the next record opens a new file.
-ROLL = 32 << 20
+ROLL = 64 << 20
+#: Payload bytes that one task writes, and the most shards there may be: beyond, they become larger.
+SHARD, SHARDS = 16 << 20, 100_000
+#: Bytes a record's headers count for.
+HEADERS = 600
 #: Payloads of this many bytes are stored once; later equal ones only refer to the response.
 REVISIT = 1000
 #: Date of every record unless another is given: archives of equal pages are equal byte for byte.
@@ -29,10 +35,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes read from an archive at a time.
 CHUNK = 1 << 20
 
-#: A record as the writer orders it; member is its gzip member.
-MEMBER = pa.schema([
-    ("uid", pa.int64()), ("id", pa.int64()), ("url", pa.string()), ("n", pa.int64()), ("digest", pa.string()), ("size", pa.int64()), ("member", pa.binary()),
-])
+#: A record as it is read.
 READ = pa.schema([
     ("file", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("id", pa.int64()), ("url", pa.string()),
     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
@@ -81,40 +84,26 @@ def member(data: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def responses(pages: DataFrame, id_col: str, url_col: str, html_col: str, date: str) -> DataFrame:
-    """MEMBER rows of every page as a full response."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):  # a batch holds whole pages: few members at a time
-                part, n, digest, out = batch.slice(start, 64), [], [], []
-                for page, url, html in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    n.append(len(html))
-                    digest.append(hashlib.sha1(html).hexdigest())
-                    out.append(member(record("response", page, url, digest[-1], html, len(html), date)))
-                columns = [*part.columns[:3], pa.array(n), pa.array(digest), pa.array(map(len, out), pa.int64()), pa.array(out, pa.binary())]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, MEMBER, strict=True)], schema=MEMBER)
-
+def page_keys(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(id, url, digest, html): pages with their payload in bytes and its SHA-1 in hex."""
     html = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    return rows.mapInArrow(run, ddl(MEMBER))
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.sha1(html).alias("digest"), html.alias("html"))
 
 
-def revisits(light: DataFrame, date: str, smallest: int) -> DataFrame:
-    """MEMBER rows of those pages of ``light`` (uid, id, url, n, digest) whose payload an other record holds: of equal
-    payloads of ``smallest`` bytes or more, the one with the largest id (then URL) is the response."""
-    big = light.where(F.col("n") >= smallest)
-    best = big.groupBy("digest").agg(F.max(F.struct("id", "url", "uid")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    total = light.count()
-    later = hot_join(big, best, "digest", "rows", total).where("uid <> first.uid").select("uid", "id", "url", "n", "digest", F.col("first.id").alias("to_id"), F.col("first.url").alias("to_url"))
+def decisions(keyed: DataFrame, smallest: int) -> DataFrame:
+    """(id, url, digest, n, copies, full, to_id, to_url): one row for each distinct page, how many of its copies are responses, and the response that
+    the others revisit: of equal payloads of ``smallest`` bytes or more, the page with the largest id (then URL)."""
+    light = cut_lineage(keyed.groupBy("id", "url", "digest", F.length("html").alias("n")).agg(F.count("*").alias("copies")))
+    best = light.where(F.col("n") >= smallest).groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("rows"), F.sum("copies").alias("all")).where("all > 1")
+    found = hot_join(light, best, "digest", "rows", light.count(), "left")
+    own = F.col("id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    full = F.when(F.col("first").isNull(), F.col("copies")).otherwise(own.cast("long"))
+    return found.select("id", "url", "digest", "n", "copies", full.alias("full"), F.col("first.id").alias("to_id"), F.col("first.url").alias("to_url"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True)
-            out = [member(record("revisit", page, url, digest, b"", n, date, (to, to_url))) for page, url, n, digest, to, to_url in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(map(len, out), pa.int64()), pa.array(out, pa.binary())], schema=MEMBER)
 
-    return later.mapInArrow(run, ddl(MEMBER))
+def _ranked(page: int | None, url: str | None, digest: str) -> tuple:
+    """A page's place in the order of Spark: nulls first, strings by their bytes."""
+    return (page is not None, page or 0, url is not None, (url or "").encode("utf-8", "surrogatepass"), digest)
 
 
 # files
@@ -139,62 +128,84 @@ def write_warc(
 ) -> DataFrame:
     """Archives ``pages`` below ``folder`` (a new path that all executors reach) and returns the manifest: (file, records, bytes, sha256, first_id, last_id).
 
-    Every page is one record, a gzip member of its own. Records are range-sorted by id, URL and digest;
-    a running total of compressed bytes over that order says where each begins, and every ``roll`` bytes a new
-    file does. Files therefore follow from the pages alone, not from partitions, executors or retries. Headers
-    and digests are made anew from the payload. Each file is written by one task under a temporary name
-    and renamed when it is whole; the manifest is written last and renamed too, and readers open only files
-    that it names. What a lost executor leaves behind is never read, and its second attempt
-    writes the same bytes.
-
-    Null html is an empty payload, a null or empty URL no header. Rows that are equal in all three are written
-    as often as they are there; the one with the largest id, then URL, is the response of equal payloads
-    of ``smallest`` bytes. No pages give an empty manifest. Other columns don't matter.
+    Every page is one record, a gzip member of its own. Distinct pages are range-sorted by id, URL and digest; a running
+    total of payload bytes over that order cuts it into shards of about SHARD bytes (more where there would be over
+    SHARDS of them). One task writes a shard, in order, and opens a new file every ``roll`` compressed bytes. Files
+    therefore follow from the pages alone, not from partitions, executors or retries. Headers and digests are made
+    anew from the payload. A file is written under a temporary name and renamed when it is whole; the manifest is written
+    last and renamed too, and readers open only files that it names. What a lost executor leaves
+    behind is never read, and its second attempt writes the same bytes.
+
+    The payloads are shuffled once, to their shards; all else works on keys. Null html is an empty payload, a null or empty
+    URL no header. Rows that are equal in all three are written as often as they are there; the one with the largest id, then
+    URL, is the response of equal payloads of ``smallest`` bytes. No pages give an empty manifest. Other columns don't matter.
     """
     spark = pages.sparkSession
     system, base = _place(folder)
     system.create_dir(base, recursive=True)
     if system.get_file_info(f"{base}/manifest").type != fs.FileType.NotFound:
         raise FileExistsError(f"{folder} holds an archive")
-    made = scratch_path(spark, "members")
-    responses(pages, id_col, url_col, html_col, date).write.option("compression", "none").parquet(made)
-    full = spark.read.parquet(made)
-    again = cut_lineage(revisits(full.select("uid", "id", "url", "n", "digest"), date, smallest))
-
-    light = full.select("uid", "id", "url", "digest", "size").join(again.select("uid", F.col("size").alias("less"), F.lit(True).alias("revisit")), "uid", "left")
-    light = light.select("uid", "id", "url", "digest", F.coalesce("less", "size").alias("size"), F.coalesce("revisit", F.lit(False)).alias("revisit"))
-    order = [F.asc_nulls_first("id"), F.asc_nulls_first("url"), F.asc("digest"), F.asc("revisit"), F.asc("uid")]
-    placed = ranged_totals(light, [], order, F.col("size"), "end")
-    placed = cut_lineage(placed.select("uid", "revisit", (F.col("end") - F.col("size")).alias("at"), F.floor((F.col("end") - F.col("size")) / roll).alias("file")))
-    one = placed.where("not revisit").hint("merge").join(full.hint("merge"), "uid")
-    other = placed.where("revisit").hint("merge").join(again.hint("merge"), "uid")
-    rows = one.unionByName(other).select("file", "at", "id", "member")
+    keyed = page_keys(pages, id_col, url_col, html_col)
+    weight = F.col("full") * F.col("n") + F.col("copies") * HEADERS
+    light = decisions(keyed, smallest).withColumn("weight", weight)
+    order = [F.asc_nulls_first("id"), F.asc_nulls_first("url"), F.asc("digest")]
+    placed = cut_lineage(ranged_totals(light, [], order, F.col("weight"), "end"))
+    size = max(SHARD, -(-(placed.agg(F.max("end").alias("n")).first()["n"] or 0) // SHARDS))
+    placed = placed.withColumn("shard", F.floor((F.col("end") - F.col("weight")) / size))
+    # one row a shard, at most SHARDS + 1
+    firsts = sorted((_ranked(*r["k"]), r["shard"]) for r in placed.groupBy("shard").agg(F.min(F.struct("id", "url", "digest")).alias("k")).collect())
+    shared = spark.sparkContext.broadcast(([k for k, _ in firsts], [n for _, n in firsts]))
+
+    def shard_of(ids: pd.Series, urls: pd.Series, digests: pd.Series) -> pd.Series:
+        keys, numbers = shared.value
+        at = [bisect_right(keys, _ranked(None if i is None else int(i), u, d)) - 1 for i, u, d in zip(ids, urls, digests, strict=True)]
+        return pd.Series([numbers[k] for k in at], dtype="int64")
+
+    bodies = keyed.select(F.pandas_udf(shard_of, "long")(F.col("id").cast("string"), "url", "digest").alias("shard"), "id", "url", "digest", F.lit(1).alias("kind"), "html")
+    rows = bodies.unionByName(placed.select("shard", "id", "url", "digest", F.lit(0).alias("kind"), "full", "to_id", "to_url"), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _place(folder)
-        now, out, temporary, seen = None, None, "", []
+        now, number, out, temporary, seen = None, 0, None, "", []
+        key, left, to = None, 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
-            if now is None:
+            nonlocal out, number
+            if out is None:
                 return
             out.close()
-            name = f"pages-{now:08d}.warc.gz"
+            name = f"pages-{now:06d}-{number:04d}.warc.gz"
             _commit(system, temporary, f"{base}/{name}")
+            out, number = None, number + 1
             yield pa.RecordBatch.from_pylist([{"file": name, "records": seen[0], "bytes": seen[1], "sha256": seen[2].hexdigest(), "first_id": seen[3], "last_id": seen[4]}], schema=manifest)
 
         for batch in batches:
-            for number, page, data in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                if number != now:
-                    yield from close()
-                    now, temporary = number, f"{base}/.pages-{number:08d}-{uuid.uuid4().hex}.tmp"
-                    out, seen = system.open_output_stream(temporary, compression=None), [0, 0, hashlib.sha256(), page, page]
-                out.write(data)
-                seen[2].update(data)
-                seen[0], seen[1], seen[4] = seen[0] + 1, seen[1] + len(data), page
+            for at in range(0, batch.num_rows, 64):  # a batch holds whole pages: few payloads at a time
+                part = batch.slice(at, 64)
+                for shard, page, url, digest, kind, html, full, to_id, to_url in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if kind == 0:
+                        key, left, to = (page, url, digest), full, (to_id, to_url)
+                        continue
+                    if key != (page, url, digest):
+                        raise Corrupt(f"page {page} has no place: the pages changed while they were read")
+                    if shard != now or (out is not None and seen[1] >= roll):
+                        yield from close()
+                        number = 0 if shard != now else number
+                        now = shard
+                    if out is None:
+                        temporary = f"{base}/.pages-{now:06d}-{number:04d}-{uuid.uuid4().hex}.tmp"
+                        out, seen = system.open_output_stream(temporary, compression=None), [0, 0, hashlib.sha256(), page, page]
+                    again = hashlib.sha1(html).hexdigest()
+                    data = member(record("response", page, url, again, html, len(html), date) if left else record("revisit", page, url, again, b"", len(html), date, to))
+                    left = max(0, left - 1)
+                    out.write(data)
+                    seen[2].update(data)
+                    seen[0], seen[1], seen[4] = seen[0] + 1, seen[1] + len(data), page
         yield from close()
 
     manifest = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())])
-    files = rows.repartition("file").sortWithinPartitions("file", "at").mapInArrow(run, ddl(manifest))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * len(firsts))
+    files = rows.repartition(tasks, "shard").sortWithinPartitions("shard", "id", "url", "digest", "kind").mapInArrow(run, ddl(manifest))
     draft = f"{folder.rstrip('/')}/manifest-{uuid.uuid4().hex}.tmp"
     files.write.parquet(draft)
     system.move(_place(draft)[1], f"{base}/manifest")

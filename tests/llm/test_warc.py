@@ -38,7 +38,7 @@ def odd_pages():
     rows = [
         (1, "http://a.example/", None), (2, None, ""), (3, "", "x"), (4, "http://a.example/\r\nWARC-Type: x", "y" * 999), (5, "u", "y" * 999),
         (6, "http://é.example/漢 z", "y" * 1000), (7, "u", "y" * 1000), (8, "u", long), (9, "u", long + "!"), (10, "u", "a\r\n\r\nWARC/1.1\r\nb"),
-        (None, "n", long), (None, "n", None), (11, "u", "é" * 500), (12, "u", "é" * 499),
+        (None, "n", long), (None, "n", None), (2**62 + 1, "u", "é" * 500), (2**62 + 2, "v", "é" * 501), (12, "u", "é" * 499),
     ]
     rows += [(100 + k, f"http://h.example/{k}", "copy" * 300) for k in range(70)]
     return rows + [(13, "t", "twice" * 400), (13, "t", "twice" * 400), (7, "u", "y" * 1000)]
@@ -62,7 +62,8 @@ def test_archives_of_odd_pages(spark, tmp_path):
         warc.write_warc(pages, f"{tmp_path}/a")
 
 
-def test_files_follow_from_the_pages_alone(spark, tmp_path):
+def test_files_follow_from_the_pages_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD", 8000)
     rows = odd_pages()
     made = []
     for k, parts in enumerate((1, 7)):
@@ -75,17 +76,16 @@ def test_files_follow_from_the_pages_alone(spark, tmp_path):
         assert not list(Path(tmp_path, str(k)).glob(".pages*.tmp"))
         for name, data in files.items():
             assert listed[name]["bytes"] == len(data) and listed[name]["sha256"] == hashlib.sha256(data).hexdigest()
-            # all but the last record begin inside the first 3000 bytes of the file's share
+            # a file is full with the record that reaches the size
             assert gzip.decompress(data).count(b"WARC/1.1\r\nWARC-Type") >= listed[name]["records"] > 0
         ids = [x for name in sorted(files) for x in (listed[name]["first_id"], listed[name]["last_id"])]
         assert [x or 0 for x in ids] == sorted(x or 0 for x in ids)
         made.append(files)
     assert made[0] == made[1]
-    starts = [0]
-    for name in sorted(made[0]):
-        starts.append(starts[-1] + len(made[0][name]))
-    # a file begins with the first record at or after a multiple of the size
-    assert all(s // 3000 < e // 3000 or e == starts[-1] for s, e in zip(starts, starts[1:], strict=False))
+    names = sorted(made[0])
+    assert len({n[:12] for n in names}) > 3 and any("-0001" in n for n in names)
+    for a, b in zip(names, names[1:], strict=False):
+        assert a[:12] != b[:12] or len(made[0][a]) >= 3000
 
 
 def test_records_are_readable_by_their_headers():
@@ -101,10 +101,10 @@ def test_damage_and_leftovers(spark, tmp_path):
     rows = [(k, "u", f"{k} " * 900) for k in range(20)]
     folder = f"{tmp_path}/a"
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, roll=4000)
-    shutil.copy(f"{folder}/pages-00000000.warc.gz", f"{folder}/pages-99999999.warc.gz")  # in no manifest
-    Path(folder, ".pages-00000001-x.tmp").write_bytes(b"half")
+    shutil.copy(f"{folder}/pages-000000-0000.warc.gz", f"{folder}/pages-999999-0000.warc.gz")  # in no manifest
+    Path(folder, ".pages-000000-0001-x.tmp").write_bytes(b"half")
     assert warc.read_warc(spark, folder).count() == 20
-    file = Path(folder, "pages-00000000.warc.gz")
+    file = Path(folder, "pages-000000-0000.warc.gz")
     data = file.read_bytes()
     for broken in (data[:-3], data[:200] + bytes([data[200] ^ 8]) + data[201:]):
         file.write_bytes(broken)
