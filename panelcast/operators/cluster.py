@@ -98,14 +98,15 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
 
 
-def starting_centers(points: DataFrame, runs: Mapping[tuple[int, int], int], key: str, seed: int) -> dict:
+def starting_centers(points: DataFrame, runs: Mapping[tuple[int, int], int], key: str, seed: int, hashed: str | None = None) -> dict:
     """``runs[(grp, run)] = k`` starting centres, each drawn from all rows of the group with probability proportional to its squared distance so far.
 
     One job for each further centre of all runs: the row with the least -log(u) / weight wins, u being a
-    hash of row, run and draw, so tasks hand on one row per run and nothing is sampled.
+    hash of row, run and draw, so tasks hand on one row per run and nothing is sampled. ``hashed`` names a
+    column that holds the row hashes already.
     """
     spark = points.sparkSession
-    rows = points.select("grp", "vec", F.xxhash64("grp", key, F.lit(seed)).alias("h"))
+    rows = points.select("grp", "vec", (F.col(hashed) if hashed else F.xxhash64("grp", key, F.lit(seed))).alias("h"))
     chosen: dict = {run: [] for run in runs}
     for draw in range(max(runs.values())):
         by_group: dict = {}

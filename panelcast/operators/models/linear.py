@@ -7,6 +7,7 @@ The data is read once per fit; a solver only ever sees the p x p moments of its
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -155,29 +156,34 @@ def linear_score(coef: str, xs: Sequence[str]) -> Column:
 
 def fit_grid(
     df: DataFrame, y: str, xs: Sequence[str], grid: Sequence[Mapping[str, float]], by: Sequence[str] = (), kind: str = "ridge",
-    split: str = "split",
+    split: str = "split", timed: bool = False,
 ) -> DataFrame:
     """Every (group, parameter point) fitted on split ``train``: coefficients, MSE on train and val.
 
-    All points are solved from the same two moment tables, so the grid size costs no data pass.
+    All points are solved from the same two moment tables, so the grid size costs no data pass. ``timed`` adds when
+    each fit started (seconds since 1970) and how many seconds it took, taken where it is solved.
     """
     size, shift = len(xs) + 2, column_means(df, [*xs, y])
     cells = gram(df.where(F.col(split).isin("train", "val")), [*xs, y], [*by, split], shift)
     names = sorted({k for point in grid for k in point})
+    clock = ["started", "seconds"] if timed else []
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         tr, va = (gram_matrix(pdf[pdf[split] == s], size) for s in ("train", "val"))
+        columns = ["point", *names, "coef", "mse_train", "mse_val", *clock]
         if tr[0, 0] == 0:
-            return pd.DataFrame(columns=["point", *names, "coef", "mse_train", "mse_val"])
+            return pd.DataFrame(columns=columns)
         rows = []
         for k, point in enumerate(grid):
+            started, t0 = time.time(), time.perf_counter()
             coef = solve_moments(tr, kind, point, shift)
-            rows.append([k, *[float(point[m]) if m in point else None for m in names], coef, mse_of(tr, coef, shift), mse_of(va, coef, shift)])
-        return pd.DataFrame(rows, columns=["point", *names, "coef", "mse_train", "mse_val"])
+            row = [k, *[float(point[m]) if m in point else None for m in names], coef, mse_of(tr, coef, shift), mse_of(va, coef, shift)]
+            rows.append(row + [started, time.perf_counter() - t0] if timed else row)
+        return pd.DataFrame(rows, columns=columns)
 
     schema = T.StructType(
         [T.StructField("point", T.IntegerType()), *[T.StructField(m, T.DoubleType()) for m in names], COEF,
-         T.StructField("mse_train", T.DoubleType()), T.StructField("mse_val", T.DoubleType())]
+         T.StructField("mse_train", T.DoubleType()), T.StructField("mse_val", T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in clock]]
     )
     return per_group(cells, by, solve, schema)
 
@@ -187,13 +193,14 @@ MODEL_NUMBERS = 8_000_000
 
 
 def score_points(df: DataFrame, y: str, xs: Sequence[str], points: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Mean absolute error per (by, point) of the models of each row's ``on`` group; rows with gaps count nowhere.
+    """Mean absolute error per (by, point) of the models of each row's ``on`` group; rows with gaps (null or NaN) count nowhere.
 
     The models (as many numbers as groups x points x predictors, counted first) go to the tasks, where a
     batch of rows meets all points of its group in one matrix product; only sums leave a task. Beyond
     MODEL_NUMBERS the rows are joined to their models instead.
     """
     on, by, xs = list(on), list(by), list(xs)
+    df = df.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in [y, *xs]})
     models = cut_lineage(points.select(*on, "point", "coef"))
     if models.count() * (len(xs) + 1) > MODEL_NUMBERS:
         return _score_joined(df, y, xs, models, on, by)
