@@ -16,6 +16,8 @@ from panelcast.session import cut_lineage
 
 #: Labelled rows a language is learned from at most, taken in the order of a hash of the id.
 ROWS_PER_LANGUAGE = 2000
+#: Parts in which the first rows of a language are looked for.
+PARTS = 64
 #: Symbols: every byte is its own.
 CLASSES = 256
 #: Length of the longest context.
@@ -24,6 +26,8 @@ ORDER = 3
 UNIT = 512
 #: Bytes scored at a time.
 STEP = 1 << 20
+#: Bits a byte costs without a model.
+WORST = 8.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -87,6 +91,13 @@ class PpmModel:
         best = int(np.argmin(bits))
         return self.langs[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
 
+    def speaks(self, text: str | None) -> bool:
+        """Whether a text has letters and the best language codes it no worse than plain bytes."""
+        if not text or not LETTER.search(text):
+            return False
+        data = text.encode("utf-8", "surrogatepass")
+        return not self.langs or float(self.bits(data).min()) <= WORST * len(data)
+
 
 def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``asked`` in the sorted ``keys``, and whether each is there."""
@@ -131,18 +142,21 @@ def grams_of(text: bytes, classes: np.ndarray, start: int = 0, stop: int | None
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> PpmModel:
     """Context trees from at most ``rows`` whole texts of each language (null and empty ones are left out).
 
-    The sample is the ids with the least hash, so it does not depend on how the rows are dealt; the
-    texts are counted on the executors. The driver gets, per language, the distinct (ORDER + 1)-grams
+    The sample is the ids with the least hash, so it does not depend on how the rows are dealt (rows of one id count each by itself); a table
+    without labels gives a model without languages. The texts are counted on the executors. The driver gets, per language, the distinct (ORDER + 1)-grams
     of the sample and their counts.
     """
     spark = docs.sparkSession
-    good = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = good.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows)
+    good = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    good = good.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    # the first of each part of a language, then of what is left: no task orders a whole language
+    least = [F.xxhash64("id"), F.col("id")]
+    part = Window.partitionBy("lang", "part").orderBy(*least)
+    ids = good.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS)).alias("part"))
+    ids = ids.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= rows)
+    ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*least))).where(F.col("nth") <= rows)
     chosen = cut_lineage(ids.select("id").distinct())
-    sample = cut_lineage(
-        good.join(F.broadcast(chosen), F.col(id_col) == F.col("id"), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    )
+    sample = cut_lineage(good.join(F.broadcast(chosen), "id", "left_semi").select("lang", F.encode("text", "UTF-8").alias("text")))
 
     classes = np.arange(CLASSES, dtype=np.uint8)
 
@@ -181,13 +195,17 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_identified(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``: null texts and texts without letters."""
+    """``docs`` without the rows in which no language is found: null texts, texts without letters, and texts that every
+    language codes with more than WORST bits a byte, which no model at all would do.
+
+    A model without languages (nothing was labelled) can't reject a text that has letters.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def identified(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ppm = shared.value
         for texts in parts:
-            yield pd.Series([ppm.predict(t)[0] != "und" for t in texts], dtype=bool)
+            yield pd.Series([ppm.speaks(t) for t in texts], dtype=bool)
         ppm.table = None
 
     return docs.where(F.pandas_udf(identified, "boolean")(F.col(text_col).cast("string")))
