@@ -37,21 +37,34 @@ def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text
     return often.groupBy("site").agg(F.collect_list("mark").alias("marks"))
 
 
-def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and ``n_lines``, ``n_dropped``.
+def without_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of the text; all other columns stay, whatever their names.
 
-    Every row stays: a text of boilerplate only becomes empty, a null text stays null with 0 lines.
-    A null site is a site of its own; sites under ``min_pages`` lose nothing.
+    Every row stays: a text of boilerplate only becomes empty, a null text stays null.
+    A null site is a site of its own; sites under ``min_pages`` lose nothing. An empty table stays empty.
     """
-    marks = cut_lineage(boilerplate(docs, site_col, text_col, ratio, min_pages)).select(F.col("site").alias("_site"), F.col("marks").alias("_marks"))
-    joined = small_left_join(docs, marks, F.col(site_col).cast("string").eqNullSafe(F.col("_site")), F.size("_marks"))
-    lines = _lines(F.col(text_col))
+    return _cleaned(docs, site_col, text_col, ratio, min_pages).drop("n_lines", "n_dropped").toDF(*docs.columns)
+
+
+def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``without_boilerplate`` with ``n_lines`` and ``n_dropped`` of each row, 0 for a null text; columns of these names are replaced."""
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return _cleaned(docs.select(*kept), site_col, text_col, ratio, min_pages).toDF(*kept, "n_lines", "n_dropped")
+
+
+def _cleaned(docs: DataFrame, site_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
+    """Columns c0, c1, ... in place of those of ``docs``, then n_lines and n_dropped."""
+    site, text = (f"c{docs.columns.index(c)}" for c in (site_col, text_col))
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    marks = cut_lineage(boilerplate(rows, site, text, ratio, min_pages)).select(F.col("site").alias("_site"), F.col("marks").alias("_marks"))
+    joined = small_left_join(rows, marks, F.col(site).cast("string").eqNullSafe(F.col("_site")), F.size("_marks"))
+    lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_marks"), _mark(x)), F.lit(False)))
     out = joined.withColumn("_kept", F.when(F.col("_marks").isNotNull(), kept))
     n = F.coalesce(F.size(lines), F.lit(0))
     return out.select(
-        *(F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text_col)).alias(c) if c == text_col else docs[c] for c in docs.columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(n).alias("n_lines"),
+        *(F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)).alias(c) if c == text else c for c in rows.columns),
+        F.when(F.col(text).isNull(), 0).otherwise(n).alias("n_lines"),
         F.when(F.col("_kept").isNotNull(), n - F.size("_kept")).otherwise(0).alias("n_dropped"),
     )
 

@@ -414,9 +414,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated strings taken out of the text, but no character cut; a null text stays null, every row stays."""
-    found = with_spans(docs, text_col, length)
-    cols = docs.columns
+    """``docs`` with repeated strings taken out of the text, but no character cut; a null text stays null, every row stays, whatever the names of its columns."""
+    cols = [f"c{k}" for k in range(len(docs.columns))]
+    text_col, kinds = cols[docs.columns.index(text_col)], [t for _, t in docs.dtypes]
+    found = with_spans(docs.toDF(*cols), text_col, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,5 +428,5 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
                 texts.append(None if null.as_py() else kept(text, runs).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in cols], cols)
 
-    schema = ", ".join(f"`{n}` {'string' if n == text_col else t}" for n, t in docs.dtypes)
-    return found.mapInArrow(run, schema)
+    schema = ", ".join(f"{n} {'string' if n == text_col else t}" for n, t in zip(cols, kinds, strict=True))
+    return found.mapInArrow(run, schema).toDF(*docs.columns)

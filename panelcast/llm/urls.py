@@ -87,13 +87,14 @@ def judge(
     host, path = split_url(F.col(url_col))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "good_mean", "good_bound")]
-    rows = pages.select(*kept, host.alias("host"), path.alias("path"))
+    own = [f"c{k}" for k in range(len(kept))]  # no name of a page's column can clash with those used here
+    rows = pages.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(kept, own, strict=True)), host.alias("host"), path.alias("path"))
     seen = labelled.select(split_url(F.col("url"))[0].alias("host"), F.lit(1).alias("n"), F.col("good").alias("k"))
     counts = seen.unionByName(rows.select("host", F.lit(0).alias("n"), F.lit(0).alias("k"))).groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     known = cut_lineage(reputation(cut_lineage(counts))).select(F.col("host").alias("_host"), "mean", "sd")
     bound = F.col("mean") - z * F.col("sd")
     return small_left_join(rows, known, F.col("host") == F.col("_host")).select(
-        *kept,
+        *(F.col(o).alias(c) for c, o in zip(kept, own, strict=True)),
         "host",
         "path",
         rule.alias("rule"),
