@@ -321,3 +321,18 @@ def tube_search(
     held = Held(df, y, xs, by, keys, len(points) * (_sizes(points, len(xs), size) + 1) * (len(STEPS) + 2 * MEMORY), split)
     models = tube_fit(df, y, xs, by, points, keys, split, size, tol, held)
     return models, tube_scores(held, models, points, size)
+
+
+def tube_refit(
+    df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], points: Sequence[Mapping], keys: Sequence[str], tried: DataFrame, split: str = "split",
+    size: int = 64, tol: float = 1e-3,
+) -> tuple[DataFrame, DataFrame]:
+    """(model of each group's best point refitted on train and val, its metrics by split); ``tried`` are metrics of ``tube_search``.
+
+    The best point has the least MSE on split ``val``, then the lowest number.
+    """
+    both = df.withColumn(split, F.when(F.col(split).isin("train", "val"), "train").otherwise(F.col(split)))
+    best = tried.where("split = 'val'").groupBy(*by).agg(F.min(F.struct("mse", "point"))["point"].alias("point"))
+    held = Held(both, y, xs, by, keys, len(points) * (_sizes(points, len(xs), size) + 1) * (len(STEPS) + 2 * MEMORY), split)
+    models = tube_fit(both, y, xs, by, points, keys, split, size, tol, held).join(best, [*by, "point"])
+    return models, tube_scores(held, models, points, size)

@@ -34,8 +34,7 @@ def embedded(t: Tables):
 @query("t5_forest_clusters")
 def t5_clusters(t: Tables):
     """Eight clusters, mtry 1 to 29: metrics of every point and split."""
-    tried, _, _ = grove.tree_search(embedded(t), "y", [f"x{k}" for k in range(30)], ["cluster"], [{"mtry": m} for m in range(1, 30)], ["vec_id"], bins=16)
-    return tried
+    return grove.tree_metrics(embedded(t), "y", [f"x{k}" for k in range(30)], ["cluster"], [{"mtry": m} for m in range(1, 30)], ["vec_id"], bins=16)
 
 
 @query("t5_forest_refit")
@@ -49,8 +48,7 @@ def t5_refit(t: Tables):
 def t6_clusters(t: Tables):
     """Eight clusters, eight points of step, rows and predictors: metrics of every point and split."""
     grid = linear.param_grid(rounds=[20], depth=[3], eta=[0.3, 0.4], subsample=[0.5, 1.0], colsample=[0.6, 0.8])
-    tried, _, _ = grove.tree_search(clustered(t), "y", FEATURES, ["cluster"], grid, KEYS, "boosted")
-    return tried
+    return grove.tree_metrics(clustered(t), "y", FEATURES, ["cluster"], grid, KEYS, "boosted")
 
 
 STUMP = """{name} AS (SELECT grp, c, GREATEST(nl, 0) AS nl, sl, n, s FROM (SELECT grp, c, COUNT(*) FILTER (quantity <= c) AS nl,
@@ -197,3 +195,12 @@ def t7_check(t: Tables):
     models = tube.tube_fit(df, "quantity", ["none"], ["grp"], grid, KEYS, "split", tol=1e-4)
     n = df.where("split = 'train'").groupBy("grp").agg(F.count("*").alias("n"))
     return models.join(n, "grp").select("grp", "point", F.round(F.col("objective") / F.col("n"), 1).alias("loss"))
+
+
+@query("u7_tube_refit")
+def u7_tube(t: Tables):
+    """Best cost and epsilon of every group, refitted on train and val and measured on all splits."""
+    df = scaled(t)
+    _, tried = tube.tube_search(df, "y", FEATURES, ["grp"], TUBE_GRID, KEYS)
+    models, measured = tube.tube_refit(df, "y", FEATURES, ["grp"], TUBE_GRID, KEYS, tried)
+    return measured.join(models.select("grp", "point", "objective", "bound"), ["grp", "point"])

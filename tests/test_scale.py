@@ -146,3 +146,87 @@ def test_scores_with_nan_by_both_ways(spark, monkeypatch, limit):
     rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 3.0), ("a", float("nan"), 9.0), ("a", 3.0, float("nan")), ("a", None, 1.0)], "g string, x double, y double")
     points = spark.createDataFrame([("a", 0, [0.0, 1.0])], "g string, point int, coef array<double>")
     assert [tuple(r) for r in linear.score_points(rows, "y", ["x"], points, ["g"], ["g"]).collect()] == [("a", 0, 1.0)]
+
+
+# ---- L4 ----
+
+
+def plain_curve(t, y, knots, lambdas):
+    """Penalised splines with the whole basis matrix."""
+    seg = np.minimum(np.floor(t * knots).astype(int), knots - 1)
+    u = t * knots - seg
+    b = np.zeros((len(t), knots + 3))
+    for i, v in enumerate([(1 - u) ** 3 / 6, (3 * u**3 - 6 * u**2 + 4) / 6, (-3 * u**3 + 3 * u**2 + 3 * u + 1) / 6, u**3 / 6]):
+        b[np.arange(len(t)), seg + i] = v
+    d = np.diff(np.eye(knots + 3), 2, axis=0)
+    best = None
+    for lam in lambdas:
+        hat = b @ np.linalg.pinv(b.T @ b + lam * d.T @ d) @ b.T
+        score = len(y) * ((y - hat @ y) ** 2).sum() / (len(y) - np.trace(hat)) ** 2
+        if best is None or score < best[0] * (1 - 1e-9):
+            best = (score, lam, hat @ y)
+    return best[1:]
+
+
+def test_penalised_trend(spark):
+    import datetime
+
+    rng = np.random.default_rng(3)
+    days = np.arange(0, 400, 2)
+    rows, curves = [], {}
+    for g, f in (("wave", lambda t: 10 * np.sin(12 * t)), ("line", lambda t: 5 * t + 2)):
+        y = f(days / 398) + rng.normal(size=len(days)) * 0.5
+        curves[g] = y
+        rows += [(g, datetime.date(2020, 1, 1) + datetime.timedelta(days=int(d)), float(v)) for d, v in zip(days, y)]
+    rows += [("wave", datetime.date(2020, 1, 6), None), ("empty", datetime.date(2020, 1, 6), None)]
+    from panelcast.operators import smooth
+
+    got = smooth.penalised_trend(spark.createDataFrame(rows, "entity string, ts date, value double"), knots=12).collect()
+    assert len(got) == len(rows)
+    lambdas = {}
+    for g, y in curves.items():
+        lam, curve = plain_curve(days / 398, y, 12, smooth.LAMBDAS)
+        mine = sorted((r for r in got if r["entity"] == g and r["value"] is not None), key=lambda r: r["ts"])
+        assert [r["smooth"] for r in mine] == pytest.approx(curve, rel=1e-5, abs=1e-5) and {r["lambda"] for r in mine} == {lam}
+        lambdas[g] = lam
+    assert lambdas["line"] > lambdas["wave"]
+    assert [r["smooth"] is None for r in got if r["value"] is None and r["entity"] == "empty"] == [True]
+    whole = smooth.penalised_trend(spark.createDataFrame(rows, "entity string, ts date, value double"), knots=12, by=())
+    assert whole.count() == len(rows) and whole.select("lambda").distinct().count() == 1
+
+
+# ---- P2 ----
+
+
+def test_wide_components(spark):
+    from panelcast.operators.preprocess import PCAThreshold
+    from panelcast.operators.wide_pca import WidePca
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 64)) + 0.3 * rng.normal(size=(300, 64))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 64)], "k int, v array<double>").repartition(5)
+    flat = spark.createDataFrame([tuple(map(float, v)) for v in x], [f"c{k}" for k in range(64)])
+    exact = PCAThreshold.fit(flat, flat.columns, k=8)
+    for components, tol in ((64, 1e-9), (8, 2e-3)):
+        found = WidePca.fit(table, "v", components)
+        assert found.explained[:6] == pytest.approx(exact.explained[:6], rel=tol)
+        assert np.abs(found.loadings[:, :6]) == pytest.approx(np.abs(exact.loadings[:, :6]), abs=max(tol, 1e-6) * 20)
+    scores = {r["k"]: r["scores"] for r in found.transform(table, "v").collect()}
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    assert scores[900] is None and scores[901] is None and scores[5] == pytest.approx(z[5] @ found.loadings)
+    with pytest.raises(ValueError):
+        WidePca.fit(table.limit(0), "v", 2)
+
+
+def test_five_thousand_columns(spark):
+    from panelcast.operators.wide_pca import WidePca
+
+    p = 5000
+    wide = spark.range(0, 200, 1, 4).select(
+        F.transform(F.sequence(F.lit(1), F.lit(p)), lambda j: F.sin(F.col("id") * 0.7) * F.sin(j * 0.3) * 3 + F.cos(F.col("id") * 1.3) * F.cos(j * 0.11) + (F.pmod(F.xxhash64("id", j), F.lit(1000)) / 1000.0)).alias("v")
+    )
+    found = WidePca.fit(wide, "v", 4)
+    x = np.vstack([r["v"] for r in wide.collect()])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    values = np.linalg.svd(z, compute_uv=False)[:4] ** 2 / 199 / p
+    assert found.explained[:2] == pytest.approx(values[:2], rel=1e-6) and found.explained == pytest.approx(values, rel=0.2)  # the last two are noise
