@@ -24,7 +24,7 @@ def clustered(t: Tables):
 def embedded(t: Tables):
     """Thirty predictors and a target for eight clusters: components of the embeddings."""
     cols = [F.col("vec")[k].alias(f"x{k}") for k in range(30)]
-    parts = F.when(F.col("vec_id") % 20 < 14, "train").when(F.col("vec_id") % 20 < 17, "val").otherwise("test")
+    parts = F.when(F.col("vec_id") % 19 < 13, "train").when(F.col("vec_id") % 19 < 16, "val").otherwise("test")
     return t.emb.select("vec_id", (F.col("vec_id") % 8 + 1).cast("int").alias("cluster"), F.col("vec")[30].alias("y"), parts.alias("split"), *cols)
 
 
@@ -117,10 +117,9 @@ def u2_kfold(t: Tables):
 
 @query("u2_rolling_all")
 def u2_rolling_all(t: Tables):
-    """All predictors, ten lambdas, an origin every ten days: means over the folds."""
-    df = ordering.row_index(clustered(t))
-    windows = splits.time_slices(ordering.date_index(t.feat), 730, 90, 9)
-    return resampling.over_folds(tune.grid_search(df, "y", FEATURES, [{"lambda": 10.0**k} for k in range(-6, 4)], ["cluster"], folds=windows), ["cluster"])
+    """All predictors, ten lambdas, an origin every thirty days: means over the folds."""
+    windows = splits.time_slices(ordering.date_index(t.feat), 730, 90, 29)
+    return resampling.over_folds(tune.grid_search(clustered(t), "y", FEATURES, [{"lambda": 10.0**k} for k in range(-6, 4)], ["cluster"], folds=windows), ["cluster"])
 
 
 @query("u2_repeated_kfold")
