@@ -26,8 +26,6 @@ ORDER = 3
 UNIT = 512
 #: Bytes scored at a time.
 STEP = 1 << 20
-#: Bits a byte costs without a model.
-WORST = 8.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -91,13 +89,6 @@ class PpmModel:
         best = int(np.argmin(bits))
         return self.langs[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
 
-    def speaks(self, text: str | None) -> bool:
-        """Whether a text has letters and the best language codes it no worse than plain bytes."""
-        if not text or not LETTER.search(text):
-            return False
-        data = text.encode("utf-8", "surrogatepass")
-        return not self.langs or float(self.bits(data).min()) <= WORST * len(data)
-
 
 def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``asked`` in the sorted ``keys``, and whether each is there."""
@@ -195,17 +186,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_identified(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows in which no language is found: null texts, texts without letters, and texts that every
-    language codes with more than WORST bits a byte, which no model at all would do.
+    """``docs`` without the rows whose language is ``und``: null texts and texts without letters.
 
-    A model without languages (nothing was labelled) can't reject a text that has letters.
+    A model without languages (nothing was labelled) can't name one, and rejects by the letters alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def identified(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ppm = shared.value
         for texts in parts:
-            yield pd.Series([ppm.speaks(t) for t in texts], dtype=bool)
+            if ppm.langs:
+                yield pd.Series([ppm.predict(t)[0] != "und" for t in texts], dtype=bool)
+            else:
+                yield pd.Series([bool(t) and LETTER.search(t) is not None for t in texts], dtype=bool)
         ppm.table = None
 
     return docs.where(F.pandas_udf(identified, "boolean")(F.col(text_col).cast("string")))

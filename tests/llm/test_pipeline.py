@@ -48,7 +48,7 @@ def rows():
 
 
 def plain_language(docs):
-    return [d for d in docs if d[1] and any(c.isalpha() for c in d[1]) and not any("぀" <= c <= "鿿" for c in d[1])]
+    return [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
 
 
 def plain_lines(docs):
