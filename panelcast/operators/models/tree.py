@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -40,7 +41,9 @@ def boosted_trees(df: DataFrame, y: str, xs: Sequence[str], params: Mapping, see
 def tree_grid(
     df: DataFrame, y: str, xs: Sequence[str], grid: Sequence[Mapping], kind: str = "forest", split: str = "split", parallel: int = 4
 ) -> DataFrame:
-    """MSE and MAE on train and val for every point; points are fitted a few at a time."""
+    """MSE and MAE on train and val for every point, and how many rows a missing predictor leaves out; points are fitted a few at a time."""
+    gap = reduce(lambda a, b: a | b, [F.col(x).isNull() | F.isnan(F.col(x).cast("double")) for x in xs])
+    left_out = float(df.where(F.col(split).isin("train", "val") & gap).count())
     train = df.where(F.col(split) == "train")
 
     def run(point: Mapping) -> tuple:
@@ -53,9 +56,9 @@ def tree_grid(
             r[0]: r[1:] for r in model.transform(df).groupBy(split).agg(F.avg(err * err), F.avg(F.abs(err))).collect()
         }
         empty = (None, None)
-        return tuple(float(v) for v in point.values()) + tuple(rows.get("train", empty)) + tuple(rows.get("val", empty))
+        return tuple(float(v) for v in point.values()) + tuple(rows.get("train", empty)) + tuple(rows.get("val", empty)) + (left_out,)
 
     with ThreadPoolExecutor(parallel) as pool:
         rows = list(pool.map(run, grid))
-    names = [*grid[0], "mse_train", "mae_train", "mse_val", "mae_val"]
+    names = [*grid[0], "mse_train", "mae_train", "mse_val", "mae_val", "left_out"]
     return df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
