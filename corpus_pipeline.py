@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import language, lines, packing, repeats, simhash
 from panelcast.session import scratch_path
 
+#: Rows of whole texts in an Arrow batch. At the default of 10,000 a batch takes tens of megabytes in the JVM and in
+#: Python, for each task.
+BATCH = 1000
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def small_batches(stage: Stage) -> Stage:
+    """``stage`` in a session that sends at most BATCH rows at a time to Python; a smaller setting stays."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH:
+            spark.conf.set(name, str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found."""
     return language.keep_identified(docs, language.learn(docs.where(~language.held_out())))
 
 
+@small_batches
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes boilerplate lines of a source out of the texts."""
     return lines.without_boilerplate(docs)
 
 
+@small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     return simhash.keep_one(docs)
 
 
+@small_batches
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes long byte strings that start anywhere else too out of the texts."""
     return repeats.without_repeats(docs)
 
 
+@small_batches
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of what is left into training sequences."""
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -109,6 +109,7 @@ def test_stage(spark, table, rows, name, plain):
     got = STAGES[name](spark, table, "")
     assert got.columns == table.columns
     assert collected(got) == sorted(plain(rows), key=str)
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= corpus_pipeline.BATCH
 
 
 def test_whole_pipeline(spark, table, rows, tmp_path):
