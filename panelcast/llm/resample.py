@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,7 +22,9 @@ from panelcast.session import cut_lineage, scratch_path
 GRAM = 3
 #: Bytes of text whose words are held as arrays at a time.
 BLOCK = 1 << 22
-SPACE, NEWLINE = 0x20, 0x0A
+NEWLINE = 0x0A
+#: A byte of a word.
+WORDY = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +194,8 @@ def documents(docs: DataFrame, buckets: int) -> DataFrame:
             for text in texts:
                 seen: dict[bytes, int] = {}
                 for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-                    seen[line] = seen.get(line, 0) + 1
+                    if WORDY.search(line):  # a blank line has no features, and would be the most common key
+                        seen[line] = seen.get(line, 0) + 1
                 keys.append([xxhash.xxh3_128_digest(x) for x in seen])
                 times.append(list(seen.values()))
             yield pa.RecordBatch.from_arrays(
