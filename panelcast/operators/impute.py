@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.models.linear import linear_score, solve_moments
-from panelcast.operators.moments import column_means, gram, gram_matrix, per_group
-from panelcast.operators.ordering import ranged_totals
+from panelcast.operators.moments import column_means, gram, gram_matrix
 from panelcast.operators.quantiles import exact_quantiles
 from panelcast.operators.reshape import to_long
 from panelcast.operators.splits import hash_uniform
-from panelcast.session import cut_lineage
+from panelcast.session import remove_scratch, scratch_path
 
 
 def impute_simple(df: DataFrame, cols: Sequence[str], how: str = "mean") -> DataFrame:
@@ -36,66 +36,234 @@ def impute_pmm(
 ) -> DataFrame:
     """Chained equations with predictive-mean matching; returns m completed tables stacked by ``imp``.
 
-    All m chains run together. Per sweep and incomplete column: one moment pass over the observed rows,
-    coefficients and a draw around them per chain, predictions, then the donors. Donors come from one
-    ordered numbering of the observed predictions: the nearest ``donors`` of a missing row lie among the
-    ``donors`` observed rows on either side of its place, so they are met by an equi-join on the number.
+    All m chains run together. Rows without gaps are the same in all chains: they are stored once, and their moments
+    are taken once. Only the rows with gaps are kept for each chain and written anew after a draw. Per sweep and
+    incomplete column: moments of the observed rows, coefficients and a draw around them per chain, predictions, then
+    the donors. The nearest ``donors`` of a missing row lie among the ``donors`` observed rows on either side of its
+    place in the order of the predictions, so a task that goes through a stretch of that order finds them (``_donors``).
     """
     keys, cols = list(keys), list(cols)
+    spark = df.sparkSession
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     holes = [c for c in cols if counts[c]]
     marked = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).withColumns(
         {f"_na_{c}": F.col(c).isNull() for c in holes}
     )
-    state = impute_simple(marked, cols).withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(m))))
+    chains = F.explode(F.sequence(F.lit(1), F.lit(m)))
+    if not holes or not maxit:
+        return impute_simple(marked, cols).withColumn("imp", chains).select("imp", *keys, *cols)
+    base = _stored(impute_simple(marked, cols), "pmm-rows")
+    gaps = reduce(lambda x, y: x | y, [F.col(f"_na_{c}") for c in holes])
+    whole, gappy = base.where(~gaps).select(*keys, *cols), base.where(gaps)
+    twice = gappy.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias("_twice"))
+    state, path = _store(gappy.join(twice, keys, "left").withColumn("imp", chains), "pmm-gaps")
+    at = column_means(base, cols)
+    fixed = gram_matrix(gram(whole, cols, (), at).toPandas(), len(cols) + 1)
+    sums = np.array(whole.agg(*[F.sum(c) for c in cols]).first(), dtype=float) if fixed[0, 0] else np.zeros(len(cols))
     for sweep in range(maxit):
         for c in holes:
-            others = [x for x in cols if x != c]
-            drawn = _draw_column(state, keys, c, others, donors, seed + 1000 * sweep)
-            state = cut_lineage(
+            order = [*[x for x in cols if x != c], c]
+            known = [cols.index(x) for x in order]
+            row = state.agg(F.count("*"), *[F.sum(x) for x in order]).first()
+            n = m * fixed[0, 0] + row[0]
+            shift = [(m * sums[k] + (v or 0.0)) / n for k, v in zip(known, row[1:])]
+            moments = _shifted(fixed[np.ix_([0, *[k + 1 for k in known]], [0, *[k + 1 for k in known]])], [at[k] - s for k, s in zip(known, shift)])
+            drawn, held = _draw_column(whole, state, keys, c, order, donors, seed + 1000 * sweep, moments, shift, m)
+            state, new = _store(
                 state.join(drawn, ["imp", *keys], "left")
                 .withColumn(c, F.when(F.col(f"_na_{c}"), F.coalesce("_new", c)).otherwise(F.col(c)))
-                .drop("_new")
+                .drop("_new"),
+                "pmm-gaps",
             )
-    return state.select("imp", *keys, *cols)
+            for old in (path, held):
+                remove_scratch(spark, old)
+            path = new
+    return whole.withColumn("imp", chains).select("imp", *keys, *cols).unionByName(state.select("imp", *keys, *cols))
 
 
-def _draw_column(state: DataFrame, keys: list[str], c: str, others: list[str], donors: int, seed: int) -> DataFrame:
-    """``imp, keys, _new`` for the rows in which ``c`` is missing."""
-    size, shift = len(others) + 2, column_means(state, [*others, c])
+def _store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written below the shared folder and read again, and its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
-    def solve(cells: pd.DataFrame) -> pd.DataFrame:
-        g = gram_matrix(cells, size)
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    return _store(df, name)[0]
+
+
+def _shifted(g: np.ndarray, by: Sequence[float]) -> np.ndarray:
+    """Sums of products of ``[1, x + by]`` from those of ``[1, x]``."""
+    t = np.eye(len(g))
+    t[1:, 0] = by
+    return t @ g @ t.T
+
+
+def _draw_column(
+    whole: DataFrame, state: DataFrame, keys: list[str], c: str, order: list[str], donors: int, seed: int, moments: np.ndarray, shift: list[float], m: int
+) -> tuple[DataFrame, str]:
+    """``imp, keys, _new`` for the rows in which ``c`` is missing, and the path of what it reads.
+
+    ``moments`` are those of the rows without gaps, which every chain has.
+    """
+    spark, others, size = whole.sparkSession, order[:-1], len(order) + 1
+    cells = gram(state.where(~F.col(f"_na_{c}")), order, ["imp"], shift).toPandas()
+    models = {}
+    for imp in range(1, m + 1):
+        g = moments + gram_matrix(cells[cells["imp"] == imp], size)
+        if g[0, 0] <= 0:
+            continue
         beta = solve_moments(g, "ols", {}, shift)
         # draw around the estimate: residual variance, then a normal step with the inverse moments
-        rng = np.random.default_rng(seed + int(cells["imp"].iloc[0]))
+        rng = np.random.default_rng(seed + imp)
         v = np.concatenate([[-(beta[0] + beta[1:] @ np.asarray(shift[:-1]) - shift[-1])], -beta[1:], [1.0]])
         dof = max(g[0, 0] - size + 1, 1.0)
         sigma = np.sqrt(max(float(v @ g @ v), 0.0) / rng.chisquare(dof))
         inv = np.linalg.pinv(g[:-1, :-1], hermitian=True)
         vals, vecs = np.linalg.eigh(inv)
         step = sigma * vecs @ (np.sqrt(np.clip(vals, 0, None)) * rng.standard_normal(size - 1))
-        star = beta + np.concatenate([[step[0] - step[1:] @ np.asarray(shift[:-1])], step[1:]])
-        return pd.DataFrame({"_b": [beta], "_d": [star]})
-
-    arr = T.ArrayType(T.DoubleType())
-    schema = T.StructType([T.StructField("_b", arr), T.StructField("_d", arr)])
-    observed = state.where(~F.col(f"_na_{c}"))
-    models = per_group(gram(observed, [*others, c], ["imp"], shift), ["imp"], solve, schema)
-    fit = F.when(F.col(f"_na_{c}"), linear_score("_d", others)).otherwise(linear_score("_b", others))
-    scored = state.join(models, "imp").select(
-        "imp", *keys, F.col(c).alias("_v"), F.col(f"_na_{c}").alias("_na"), fit.alias("_p"), F.xxhash64(*keys, F.lit(seed)).alias("_h")
-    )
-    placed = ranged_totals(scored, ["imp"], [F.asc("_p"), F.asc("_na"), F.asc("_h")], (~F.col("_na")).cast("int"), "_pos")
-    pool = placed.where("NOT _na").select("imp", F.col("_pos").alias("_at"), F.col("_p").alias("_pd"), F.col("_v").alias("_vd"))
-    wanted = placed.where("_na").withColumn(
-        "_at", F.explode(F.sequence(F.col("_pos") - (donors - 1), F.col("_pos") + donors))
-    )
-    near = wanted.join(pool, ["imp", "_at"]).groupBy("imp", *keys).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct(F.abs(F.col("_pd") - F.col("_p")).alias("d"), F.col("_at").alias("a"), F.col("_vd").alias("v")))), 1, donors).alias("_c")
-    )  # at most 2 * donors entries per missing row
-    pick = F.floor(hash_uniform([*keys, "imp"], c, seed) * F.size("_c")).cast("int")
-    return near.select("imp", *keys, F.get("_c", pick)["v"].alias("_new"))
+        models[imp] = beta, beta + np.concatenate([[step[0] - step[1:] @ np.asarray(shift[:-1])], step[1:]])
+    array = lambda b: F.array(*[F.lit(float(x)) for x in b])
+    fitted = F.array(*[F.struct(F.lit(i).alias("imp"), array(b).alias("_b"), array(d).alias("_d")) for i, (b, d) in models.items()])
+    if not models:
+        fitted = F.array().cast("array<struct<imp:int,_b:array<double>,_d:array<double>>>")
+    h, value = F.xxhash64(*keys, F.lit(seed)).alias("_h"), F.col(c).alias("_v")
+    named = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])  # a row without a key can't be met again
+    key = F.struct(*keys, "_twice", hash_uniform([*keys, "imp"], c, seed).alias("_u"))
+    pool = whole.select("*", F.inline(fitted)).select("imp", linear_score("_b", others).alias("_p"), F.lit(False).alias("_na"), h, value, F.lit(None).alias("_k"))
+    one = state.withColumn("_m", F.get(F.filter(fitted, lambda x: x["imp"] == F.col("imp")), F.lit(0))).where("_m is not null")
+    missing = F.col(f"_na_{c}")
+    fit = F.when(missing, linear_score("_m._d", others)).otherwise(linear_score("_m._b", others))
+    own = one.where(~missing | named).select("imp", fit.alias("_p"), missing.alias("_na"), h, value, F.when(missing, key).alias("_k"))
+    placed = own.unionByName(pool.withColumn("_k", F.col("_k").cast(own.schema["_k"].dataType)))
+    by = ["imp", "_p", "_na", "_h"]
+    placed = placed.repartitionByRange(*by).sortWithinPartitions(*by).select("imp", "_p", "_na", "_v", "_k", F.spark_partition_id().alias("_r"))
+    found, held = _store(_donors(placed, donors), "pmm-donors")
+
+    # the first and last observed rows of every stretch, for the missing rows near its ends
+    edges: dict = {}
+    for r in found.where("_kind = 2").select("imp", "_r", "_c").collect():
+        edges.setdefault(r["imp"], {})[r["_r"]] = sorted((x["at"], x["p"], x["v"]) for x in r["_c"])
+    every = {imp: sorted(x for part in stretches.values() for x in part) for imp, stretches in edges.items()}
+    near = []
+    for imp, r in found.where("_kind = 1").select("imp", "_r").distinct().collect():
+        lo, hi = np.searchsorted([x[0] for x in every.get(imp, [])], [r << STRETCH, (r + 1) << STRETCH])
+        near.append((imp, r, every.get(imp, [])[max(0, lo - donors) : lo] + every.get(imp, [])[hi : hi + donors]))
+    entry = "array<struct<at:long,p:double,v:double>>"
+    sides = spark.createDataFrame(near, f"imp int, _r int, _e {entry}")
+    waits = found.where("_kind = 1").join(F.broadcast(sides), ["imp", "_r"], "left").withColumn("_c", F.array_sort(F.concat("_c", F.coalesce("_e", F.array().cast(entry)))))
+    before = F.filter("_c", lambda x: x["at"] < F.col("_at"))
+    after = F.filter("_c", lambda x: x["at"] > F.col("_at"))
+    both = F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - (donors - 1)), donors), F.slice(after, 1, donors))
+    apart = F.transform(both, lambda x: F.struct(F.abs(x["p"] - F.col("_p")).alias("d"), x["at"], x["v"]))
+    waits = waits.select("imp", "_k", apart.alias("_c")).groupBy("imp", "_k").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_c"))), 1, donors).alias("_c"))
+    late = waits.select("imp", "_k", F.get("_c", F.floor(F.col("_k._u") * F.size("_c")).cast("int"))["v"].alias("_new"))
+    drawn = found.where("_kind = 0").select("imp", "_k", "_new").unionByName(late)
+    return drawn.select("imp", *[F.col(f"_k.{k}").alias(k) for k in keys], "_new"), held
+
+
+#: Bits of a row's number within its stretch of the order.
+STRETCH = 40
+
+
+def _donors(placed: DataFrame, donors: int) -> DataFrame:
+    """Donors of the missing rows in every partition of ``placed`` (imp, _p, _na, _v, _k, _r), which is a stretch of the order.
+
+    Rows of ``_kind`` 0 are missing rows with their drawn value ``_new``; of kind 1 those that have too few observed rows
+    before or after them in the stretch, or share their key with others, with the observed rows around them; of kind 2 the
+    first and last observed rows of a chain in the stretch. A task keeps the rows from the first undecided one on.
+    """
+    none = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("v", T.DoubleType())]))
+    schema = T.StructType([
+        T.StructField("_kind", T.IntegerType()), T.StructField("imp", T.IntegerType()), T.StructField("_r", T.IntegerType()), T.StructField("_at", T.LongType()),
+        T.StructField("_p", T.DoubleType()), T.StructField("_k", placed.schema["_k"].dataType), T.StructField("_new", T.DoubleType()), T.StructField("_c", none),
+    ])
+    entries = pa.list_(pa.struct([("at", pa.int64()), ("p", pa.float64()), ("v", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_type: list = []
+
+        def lists(where: list[np.ndarray], at, p, v) -> pa.Array:
+            flat = np.concatenate(where) if where else np.zeros(0, int)
+            ends = np.concatenate([[0], np.cumsum([len(w) for w in where])]).astype("int32")
+            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(at[flat]), pa.array(p[flat]), pa.array(v[flat])], ["at", "p", "v"])).cast(entries)
+
+        def out(kind: int, imp: int, r: int, at, p, k: pa.Array, new, c: pa.Array) -> pa.RecordBatch:
+            n = len(at)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, "int32")), pa.array(np.full(n, imp, "int32")), pa.array(np.full(n, r, "int32")), pa.array(at), pa.array(p), k, new, c], [f.name for f in schema.fields])
+
+        def settle(imp: int, r: int, rows: tuple, first: int, last: bool) -> tuple[list[pa.RecordBatch], tuple]:
+            """Decides the missing rows from ``first`` on that have their donors after them, or all rows of a chain that ends here; keeps the rest."""
+            p, na, v, at, k = rows
+            seen = np.flatnonzero(~na)
+            gone = np.flatnonzero(na)
+            gone = gone[gone >= first]
+            left = np.searchsorted(seen, gone)
+            ready = np.ones(len(gone), bool) if last else len(seen) - left >= donors
+            stop = len(na) if ready.all() else int(gone[~ready][0])
+            gone, left = gone[ready], left[ready]
+            done = []
+            if len(gone):
+                struct = k.take(pa.array(gone))
+                easy = (left >= donors) & (len(seen) - left >= donors) & ~np.asarray(struct.field("_twice").is_valid())
+                if easy.any():
+                    spot = seen[left[easy, None] + np.arange(-donors, donors)]
+                    d = np.abs(p[spot] - p[gone[easy], None])
+                    spot = np.take_along_axis(spot, np.argsort(d, axis=1, kind="stable")[:, :donors], axis=1)
+                    u = np.asarray(struct.field("_u"))[easy]
+                    new = v[spot[np.arange(len(spot)), np.floor(u * donors).astype(int)]]
+                    done.append(out(0, imp, r, at[gone[easy]], p[gone[easy]], struct.filter(pa.array(easy)), pa.array(new), pa.nulls(len(new), entries)))
+                if not easy.all():
+                    hard = ~easy
+                    around = [seen[max(0, a - donors) : a + donors] for a in left[hard]]
+                    done.append(out(1, imp, r, at[gone[hard]], p[gone[hard]], struct.filter(pa.array(hard)), pa.nulls(int(hard.sum()), pa.float64()), lists(around, at, p, v)))
+            keep = min(stop, len(na))
+            back = seen[seen < keep][-donors:]
+            start = int(back[0]) if len(back) else keep
+            start = min(start, keep)
+            return done, (tuple(x[start:] for x in rows[:4]) + (k.slice(start),), keep - start)
+
+        now, held, first, head, tail, r, number = None, None, 0, [], [], 0, 0
+
+        def edge() -> list[pa.RecordBatch]:
+            ends = sorted({*head, *tail})
+            if not ends:
+                return []
+            at, p, v = (np.array(x) for x in zip(*ends))
+            return [out(2, now, r, np.zeros(1, "int64"), np.zeros(1), pa.nulls(1, key_type[0]), pa.nulls(1, pa.float64()), lists([np.arange(len(ends))], at.astype("int64"), p.astype(float), v.astype(float)))]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key_type[:] = [batch.column(4).type]
+            imps, r = np.asarray(batch.column(0)), batch.column(5)[0].as_py()
+            at = (np.int64(r) << STRETCH) + number + np.arange(batch.num_rows, dtype="int64")
+            number += batch.num_rows
+            p, na, v = np.asarray(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False).astype(float)
+            cuts = [0, *(np.flatnonzero(np.diff(imps)) + 1), len(imps)]
+            for a, b in zip(cuts, cuts[1:]):
+                imp = int(imps[a])
+                if imp != now:
+                    if held is not None:
+                        done, _ = settle(now, r, held, first, True)
+                        yield from done
+                        yield from edge()
+                    now, held, first, head, tail = imp, None, 0, [], []
+                part = (p[a:b], na[a:b], v[a:b], at[a:b], batch.column(4).slice(a, b - a))
+                seen = np.flatnonzero(~part[1])
+                row = lambda i: (int(part[3][i]), float(part[0][i]), float(part[2][i]))  # noqa: E731, B023
+                head += [row(i) for i in seen[: donors - len(head)]]
+                tail = [*tail, *[row(i) for i in seen[-donors:]]][-donors:]
+                if held is not None:
+                    part = tuple(np.concatenate([x, y]) for x, y in zip(held[:4], part[:4])) + (pa.concat_arrays([held[4], part[4]]),)
+                done, (held, first) = settle(now, r, part, first, False)
+                yield from done
+        if held is not None:
+            done, _ = settle(now, r, held, first, True)
+            yield from done
+            yield from edge()
+
+    return placed.mapInArrow(run, schema)
 
 
 def average_imputations(stacked: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
