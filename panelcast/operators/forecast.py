@@ -79,7 +79,7 @@ def future_dates(panel: DataFrame, days: int, by: Sequence[str] = ("cluster",),
     return last.select(*by, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", days))).alias(ts))
 
 
-def submission(forecast: DataFrame, members: DataFrame, names: Sequence, first=None, ts: str = "ts") -> DataFrame:
+def submission(forecast: DataFrame, members: DataFrame, names: DataFrame, first=None, ts: str = "ts") -> DataFrame:
     """Cluster forecast copied to its members in the given column order, future rows only."""
     rows = forecast if first is None else forecast.where(F.col(ts) >= F.lit(first).cast("date"))
     return entity_columns(rows.select("cluster", ts, F.col("prediction").alias("value")), members, names, ts)

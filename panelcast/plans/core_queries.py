@@ -222,7 +222,7 @@ def d4(t: Tables):
 def d5(t: Tables):
     series = (t.panel.join(t.clusters, "entity").groupBy("cluster", "ts")
               .agg(F.round(F.sum("value"), 2).alias("value")))
-    return reshape.open_entities(reshape.entity_columns(series, t.clusters, reshape.factor_levels(t.clusters, "entity")))
+    return reshape.open_entities(reshape.entity_columns(series, t.clusters, reshape.level_order(t.clusters, "entity")))
 
 
 # ---- E: joins ----

@@ -235,6 +235,6 @@ def pipeline_forecast(t: Tables):
     models = linear.fit(lagged, "value", xs, ["cluster"], "ridge", {"lambda": 0.01})
     future = forecast.future_dates(mean, 60, ["cluster"])
     scored = forecast.forecast_recursive(mean, future, models, (), 30, 5, ["cluster"])
-    wide = forecast.submission(scored, t.clusters, reshape.factor_levels(t.clusters, "entity"))
+    wide = forecast.submission(scored, t.clusters, reshape.level_order(t.clusters, "entity"))
     rows = reshape.open_entities(wide)
     return rows.groupBy("ts").agg(F.count("*").alias("entities"), F.count_if(F.col("value").isNull() | F.isnan("value")).alias("gaps"))

@@ -506,4 +506,4 @@ def w2b(t: Tables):
 def w3(t: Tables):
     """One column per entity in the submission; opened again to compare all of them."""
     mean = cluster.cluster_mean(t.cents, t.clusters).select("cluster", "ts", F.round("value").alias("prediction"))
-    return reshape.open_entities(forecast.submission(mean, t.clusters, reshape.factor_levels(t.clusters, "entity"), "2001-01-01"))
+    return reshape.open_entities(forecast.submission(mean, t.clusters, reshape.level_order(t.clusters, "entity"), "2001-01-01"))
