@@ -27,12 +27,14 @@ def planar_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.hypot(x2 - x1, y2 - y1)
 
 
-def neighbor_join(points: DataFrame, radius: float, entity: str = "entity") -> DataFrame:
+def neighbor_join(points: DataFrame, radius: float, entity: str = "entity", digits: int | None = None, first: int | None = None) -> DataFrame:
     """All ordered pairs with 0 < planar distance <= radius.
 
     Entities are reduced to distinct positions first (coincident points are no neighbours, however
     many there are), positions meet only within the 3 x 3 grid cells around them, and a crowded cell
-    is split over several tasks by salting. Entities are attached to the pairs of positions last.
+    is split over several tasks by salting. Entities are attached to the pairs of positions last, in
+    lists of at most CHUNK, so that pairs of entities are never shuffled. ``digits`` rounds positions
+    and distances once for each pair of positions. ``first`` keeps the pairs of each row with that many least neighbours.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
     spots = points.select("x", "y").distinct().withColumns({"cx": cell("x"), "cy": cell("y")})
@@ -58,11 +60,47 @@ def neighbor_join(points: DataFrame, radius: float, entity: str = "entity") -> D
         .where((F.col("distance") > 0) & (F.col("distance") <= radius))
         .select("x", "y", "x2", "y2", "distance")
     )
-    origin = points.select("x", "y", F.col(entity))
-    other = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(entity).alias("neighbor"))
-    return pairs.join(origin, ["x", "y"]).join(other, ["x2", "y2"]).select(
-        entity, "neighbor", "x", "y", "x2", "y2", "distance"
-    )
+    if first is not None:
+        origin = points.select("x", "y", F.col(entity))
+        out = _least_neighbors(pairs, points, entity, first).join(origin, ["x", "y"]).select(entity, F.inline("_near"), "x", "y")
+        return _rounded(out.select(entity, "neighbor", "x", "y", "x2", "y2", "distance"), digits)
+    parts = 4 * points.sparkSession.sparkContext.defaultParallelism  # named, since a few small rows become many pairs
+    lists = _chunks(points, entity)
+    # text keys: joins on doubles deal the rows again, into few parts
+    place = lambda x, y: F.concat_ws(" ", (F.col(x) + 0.0).cast("string"), (F.col(y) + 0.0).cast("string"))
+    origin = lists.select(place("x", "y").alias("_a"), F.col("_ids").alias("_from")).repartition(parts, "_a")
+    other = lists.select(place("x", "y").alias("_b"), F.col("_ids").alias("_to")).repartition(parts, "_b")
+    met = pairs.withColumns({"_a": place("x", "y"), "_b": place("x2", "y2")}).repartition(parts, "_a").join(origin.hint("merge"), "_a")
+    met = met.repartition(parts, "_b").join(other.hint("merge"), "_b")
+    met = _rounded(met, digits).withColumn(entity, F.explode("_from"))
+    return met.withColumn("neighbor", F.explode("_to")).select(entity, "neighbor", "x", "y", "x2", "y2", "distance")
+
+
+#: Entities of one position that are listed together.
+CHUNK = 1000
+
+
+def _chunks(points: DataFrame, entity: str) -> DataFrame:
+    """(x, y, _ids): the entities of each position in lists of about CHUNK, a row's entity once for the row."""
+    many = points.groupBy("x", "y").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_parts"))
+    dealt = points.select("x", "y", F.col(entity).alias("_id")).join(many, ["x", "y"])
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")))
+    # a list leaves out null: it is wrapped while it is gathered
+    return dealt.groupBy("x", "y", "_part").agg(F.collect_list(F.struct("_id")).alias("_l")).select("x", "y", F.transform("_l", lambda s: s["_id"]).alias("_ids"))
+
+
+def _least_neighbors(pairs: DataFrame, points: DataFrame, entity: str, first: int) -> DataFrame:
+    """(x, y, _near): of each position the ``first`` least neighbours, from the ``first`` least entities of each position; null comes first."""
+    w = W.partitionBy("x", "y").orderBy(F.asc_nulls_first(entity))
+    few = points.where("x is not null and y is not null").select("x", "y", F.col(entity), F.row_number().over(w).alias("_n")).where(F.col("_n") <= first)
+    held = few.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(entity).alias("neighbor"))
+    met = pairs.join(held, ["x2", "y2"]).select("x", "y", F.struct("neighbor", "x2", "y2", "distance").alias("_e"))
+    near = met.groupBy("x", "y", F.pmod(F.xxhash64("_e"), F.lit(64)).alias("_part")).agg(F.slice(F.array_sort(F.collect_list("_e")), 1, first).alias("_l"))
+    return near.groupBy("x", "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_l"))), 1, first).alias("_near"))
+
+
+def _rounded(df: DataFrame, digits: int | None) -> DataFrame:
+    return df if digits is None else df.withColumns({c: F.round(c, digits) for c in ("x", "y", "x2", "y2", "distance")})
 
 
 def neighbors(dim: DataFrame, origin, radius: float, mode: str = "planar", include_self: bool = False) -> DataFrame:

@@ -267,8 +267,8 @@ XY = """, pt AS (SELECT entity, radians(lon) * 6378137.0::DOUBLE AS x,
     ROUND(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 3) AS distance FROM pt a, pt b
     WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 0 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 100000""")
 def e6(t: Tables):
-    pairs = geo.neighbor_join(geo.project_mercator(t.dim), 100_000.0)
-    return pairs.select("entity", "neighbor", F.round("distance", 3).alias("distance"))
+    pairs = geo.neighbor_join(geo.project_mercator(t.dim), 100_000.0, digits=3)
+    return pairs.select("entity", "neighbor", "distance")
 
 
 FOLDS = """, n AS (SELECT COUNT(*) AS n FROM total), fo AS (SELECT i AS fold, 365 + i * 366 AS stop
@@ -544,8 +544,7 @@ PAIRS = """, pairs AS (SELECT a.entity, b.entity AS neighbor, a.x, a.y, b.x AS x
 @query("v3_neighbor_lines", "dim", XY + PAIRS + """ SELECT entity, neighbor, ROUND(x, 3) AS from_x, ROUND(y, 3) AS from_y,
     ROUND(x2, 3) AS to_x, ROUND(y2, 3) AS to_y FROM pairs""")
 def v3(t: Tables):
-    lines = geo.neighbor_lines(geo.neighbor_join(geo.project_mercator(t.dim), 150_000.0))
-    return lines.withColumns({c: F.round(c, 3) for c in ("from_x", "from_y", "to_x", "to_y")})
+    return geo.neighbor_lines(geo.neighbor_join(geo.project_mercator(t.dim), 150_000.0, digits=3))
 
 
 REPORT_LO, REPORT_HI = "1997-10-01", "1998-03-31"
@@ -572,7 +571,7 @@ def v4b(t: Tables):
     SELECT entity, CAST(entity AS VARCHAR) || ', ' || string_agg(CAST(neighbor AS VARCHAR), ', ' ORDER BY rn) ||
       CASE WHEN MAX(n) > 5 THEN '...' ELSE '' END AS listing FROM r WHERE rn <= 5 GROUP BY entity""")
 def v5(t: Tables):
-    return geo.neighbor_listing(geo.neighbor_join(geo.project_mercator(t.dim), 150_000.0), 5)
+    return geo.neighbor_listing(geo.neighbor_join(geo.project_mercator(t.dim), 150_000.0, first=6), 5)
 
 
 @query("v6_position_table", "cents dim", """SELECT how, entity, value, lat, lon, elev FROM (

@@ -45,3 +45,34 @@ def test_donors_across_the_ends_of_stretches(spark, parts):
         near = seen[max(0, at - 3) : at + 3]
         assert new == near[np.argsort(np.abs(near - p[k]), kind="stable")[:3]][int(u * 3)]
     assert len([r for r in got if r["_kind"] == 2]) <= parts
+
+
+def test_columns_of_many_entities_are_no_plan(spark):
+    """One column per entity for more entities than a plan can name; a block without a cluster has no row."""
+    members = spark.range(30_000).selectExpr("id as entity", "cast(id % 3 as int) as cluster")
+    series = spark.createDataFrame([(c, f"2001-01-0{d}", float(10 * c + d)) for c in (0, 1) for d in (1, 2, 3)], "cluster int, ts string, value double")
+    wide = reshape.entity_columns(series, members, reshape.level_order(members, "entity"))
+    assert len(wide.columns) == 4 and wide.select("block").distinct().count() == 30
+    rows = reshape.open_entities(wide).toPandas()
+    assert len(rows) == 60_000 and (rows["value"] == rows["entity"] % 3 * 10 + rows["ts"].str[-1].astype(int)).all()
+
+
+def test_neighbours_are_spread_whatever_their_positions(spark):
+    """Few positions with many entities each gave all pairs of entities to the few tasks that a small shuffle gets."""
+    pdf = pd.DataFrame([(i, float(i % 20), float(i // 20 % 5)) for i in range(3000)], columns=["entity", "x", "y"])
+    out = geo.neighbor_join(spark.createDataFrame(pdf), 1.0)
+    per_task = out.groupBy("entity").count().agg({"count": "sum"}).first()[0]
+    d = np.hypot(*(pdf[["x", "y"]].to_numpy()[:100, None] - pdf[["x", "y"]].to_numpy()[None, :100]).transpose(2, 0, 1))
+    assert per_task == 900 * int(((d > 0) & (d <= 1)).sum())
+    tasks = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(tasks) < sum(tasks) / 4
+
+
+def test_least_neighbours_equal_those_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"entity": rng.permutation(200) // 2, "x": rng.integers(0, 9, 200).astype(float), "y": rng.integers(0, 9, 200).astype(float)})
+    df = spark.createDataFrame(pdf)
+    few = geo.neighbor_join(df, 2.0, first=4)
+    want = geo.neighbor_listing(geo.neighbor_join(df, 2.0), 3).toPandas().sort_values("entity")["listing"].tolist()
+    assert geo.neighbor_listing(few, 3).toPandas().sort_values("entity")["listing"].tolist() == want
+    assert few.count() <= 4 * len(pdf)
