@@ -76,3 +76,12 @@ def test_least_neighbours_equal_those_of_all_pairs(spark):
     want = geo.neighbor_listing(geo.neighbor_join(df, 2.0), 3).toPandas().sort_values("entity")["listing"].tolist()
     assert geo.neighbor_listing(few, 3).toPandas().sort_values("entity")["listing"].tolist() == want
     assert few.count() <= 4 * len(pdf)
+
+
+def test_points_are_stored_in_a_part_for_every_core(spark):
+    """A small table came in one part, so one core did every pass of k-means."""
+    points = spark.range(2000).coalesce(1).selectExpr("id as entity", "0 as grp", "array(cast(id as double), 1d) as vec")
+    held = cluster._spread(points, "entity")
+    assert held.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    _, wss = cluster.batch_kmeans(held, {(0, 0): np.array([[999.5, 1.0]])})
+    assert np.isclose(wss[0, 0], ((np.arange(2000) - 999.5) ** 2).sum())
