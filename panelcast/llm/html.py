@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from html import unescape
+from itertools import islice
 from os.path import commonprefix
 
 import numpy as np
@@ -21,7 +23,7 @@ from panelcast.session import cut_lineage
 
 #: Pages of a host's path order that one task pairs at a time.
 RUN = 4096
-#: Pages on each side of a page among which its nearest is looked for.
+#: Steps from a page to pages near it after which copies are told by number; a run brings so many pages more at each end.
 REACH = 16
 #: A page that shares more than this part of the characters of another is its near copy.
 NEAR = 2 / 3
@@ -198,13 +200,13 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 
 def _nearest(page: list[dict], i: int) -> Iterator[dict]:
-    """Pages of the host of ``page[i]`` up to REACH places away, the one with the longest common path first."""
+    """The other pages of the host of ``page[i]``, the one with the longest common path first."""
     own, at = page[i], {-1: i, 1: i}
     ahead: dict[int, tuple[int, dict]] = {}
 
     def step(side: int) -> None:
         at[side] += side
-        if 0 <= at[side] < len(page) and abs(at[side] - i) <= REACH and (q := page[at[side]])["host"] == own["host"]:
+        if 0 <= at[side] < len(page) and (q := page[at[side]])["host"] == own["host"]:
             ahead[side] = (len(commonprefix([own["path"], q["path"]])), q)
         else:
             ahead.pop(side, None)
@@ -217,13 +219,119 @@ def _nearest(page: list[dict], i: int) -> Iterator[dict]:
         step(side)
 
 
+def _said(own: dict, other: dict) -> list[int] | None:
+    """Places of the lines of ``own`` that ``other`` shares; None if ``other`` is a near copy."""
+    found = shared(own["marks"], other["marks"])
+    return None if sum(own["sizes"][k] for k in found) > NEAR * sum(own["sizes"]) else [own["places"][k] for k in found]
+
+
+class Copies:
+    """Which pages of a list are near copies of a page; pages with equal lines are compared once."""
+
+    def __init__(self, page: list[dict]) -> None:
+        self.page = page
+        numbers: dict[tuple, int] = {}
+        self.codes = np.array([numbers.setdefault(tuple(q["marks"]), len(numbers)) for q in page], dtype=np.int64)
+        hosts = [q["host"] for q in page]
+        cuts = [0, *(k for k in range(1, len(page)) if hosts[k] != hosts[k - 1]), len(page)]
+        self.spans = {hosts[a]: (a, b) for a, b in zip(cuts, cuts[1:], strict=False)} if page else {}
+        self.known: dict[int, np.ndarray] = {}
+
+    def first(self, own: dict, places: range, code: int | None = None) -> int | None:
+        """The first of ``places`` (a step of 1 or -1) whose page is no near copy of ``own``; what was found is kept for the pages with its ``code``."""
+        copy = np.zeros(len(self.page), dtype=np.int8)  # by code: 1 a copy, 2 none
+        if code is not None:
+            copy = self.known.setdefault(code, copy)
+        at, end = places.start, places.stop
+        while at != end:
+            codes = self.codes[at:end] if places.step > 0 else self.codes[end + 1 : at + 1][::-1]
+            left = copy[codes] != 1
+            k = int(left.argmax())
+            if not left[k]:
+                return None
+            at += places.step * k
+            if not copy[self.codes[at]]:
+                copy[self.codes[at]] = 1 if _said(own, self.page[at]) is None else 2
+            if copy[self.codes[at]] == 2:
+                return at
+        return None
+
+
+def _beyond(open_pages: DataFrame, placed: DataFrame) -> DataFrame:
+    """(leader, side, nth): the first page, from the end of the leader's run on, that is no near copy of it; no row where its host ends before.
+
+    Twice as many runs in every round, each met by the leaders in its own task, so that a host full of copies is spread.
+    """
+    sides = F.array(*[F.when(F.col(c), F.lit(k)) for c, k in (("on_left", -1), ("on_right", 1))])
+    asked = open_pages.select("leader", F.col("own").alias("run"), F.explode(F.array_compact(sides)).alias("side")).distinct()
+    lines = placed.select(F.col("nth").alias("leader"), "host", "marks", "sizes", "places")
+    asked = cut_lineage(asked.join(lines, "leader"))
+    pages = placed.select(F.col("own").alias("block"), "nth", "host", "marks", "sizes", "places", F.lit(0).alias("side"), F.lit(0).cast("long").alias("away"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, page, copies = None, [], None
+        for batch in batches:
+            out = []
+            for q in batch.to_pylist():
+                if q["block"] != block:
+                    block, page, copies = q["block"], [], None
+                if not q["side"]:
+                    page.append(q)
+                    continue
+                copies = copies or Copies(page)
+                start, end = copies.spans.get(q["host"], (0, 0))
+                at = copies.first(q, range(start, end) if q["side"] > 0 else range(end - 1, start - 1, -1)) if end else None
+                if at is not None:
+                    out.append((q["nth"], q["side"], q["away"], page[at]["nth"]))
+                elif end - start < RUN:
+                    out.append((q["nth"], q["side"], q["away"], None))  # the host ends here
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["leader", "side", "away", "nth"])
+
+    parts, first = [], 1
+    while not asked.isEmpty():
+        away = F.sequence(F.lit(first).cast("long"), F.lit(2 * first - 1).cast("long"))
+        sent = asked.withColumn("away", F.explode(away)).withColumn("block", F.col("run") + F.col("side") * F.col("away"))
+        met = pages.unionByName(sent.select("block", F.col("leader").alias("nth"), "host", "marks", "sizes", "places", "side", "away"))
+        met = met.repartition("block").sortWithinPartitions("block", F.col("side") != 0, "nth")
+        told = met.mapInArrow(look, "leader long, side int, away long, nth long").groupBy("leader", "side").agg(F.min_by("nth", "away").alias("nth"))
+        parts.append(cut_lineage(told))
+        asked = cut_lineage(asked.join(parts[-1].select("leader", "side"), ["leader", "side"], "left_anti"))
+        first *= 2
+    return reduce(DataFrame.unionByName, parts).where("nth is not null")
+
+
+def _far(open_pages: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, drops) of pages whose nearest page may lie beyond the run they are in."""
+    found = cut_lineage(_beyond(open_pages, placed))
+    for side, name in ((-1, "left"), (1, "right")):
+        there = found.where(F.col("side") == side).select("leader", F.col("nth").alias("_far"), F.lit(True).alias(f"on_{name}"))
+        open_pages = open_pages.join(there, ["leader", f"on_{name}"], "left").withColumn(name, F.coalesce(name, "_far")).drop("_far")
+        other = placed.select(F.col("nth").alias(name), F.struct("path", "marks").alias(f"{name}_page"))
+        open_pages = open_pages.join(other, name, "left")
+    rows = open_pages.select("nth", "left_page", "right_page").join(placed.select("nth", "id", "path", "places", "marks", "sizes"), "nth")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, drops = [], []
+            for p in batch.to_pylist():
+                near = [q for q in (p["left_page"], p["right_page"]) if q]
+                if near and (said := _said(p, max(near, key=lambda q: len(commonprefix([p["path"], q["path"]]))))):
+                    names.append(p["id"])
+                    drops.append(said)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(drops, pa.list_(pa.int32()))], ["id", "drops"])
+
+    return rows.select("id", "path", "places", "marks", "sizes", "left_page", "right_page").mapInArrow(decide, "id long, drops array<int>")
+
+
 def shared_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, drops): for pages with undecided lines, the line indexes shared with the page of the nearest URL.
 
     Pages are laid out by host and path in runs of RUN pages with REACH pages more at each end, so
     that a host with most of the pages is spread. On each side the nearest page has the longest common
     path. A near copy, which shares more than NEAR of the characters of a page, says nothing about it:
-    the next nearest page is taken. A page with near copies only, within REACH, loses no line.
+    the next nearest page is taken, however far; pages whose run ends before are looked for in the
+    runs beyond. A page with near copies only on its host loses no line.
     """
     host, path = split_url(F.col(url_col))
 
@@ -247,21 +355,45 @@ def shared_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["run"]):
             page = group.to_pylist()
-            names, drops = [], []
+            copies, leaders, out = None, {}, []
+
+            def far(i: int) -> list[int] | tuple | None:
+                """What the nearest page says, or the nearest ones so far and the sides to look on."""
+                p, code = page[i], int(copies.codes[i])
+                start, end = copies.spans[p["host"]]
+                at = [copies.first(p, range(i - 1, start - 1, -1), code), copies.first(p, range(i + 1, end), code)]
+                alike = [-1 if k is None else len(commonprefix([p["path"], page[k]["path"]])) for k in at]
+                most = [len(commonprefix([p["path"], page[k]["path"]])) for k in (start, end - 1)]
+                on_left = at[0] is None and start == 0 and page[0]["nth"] > 0 and most[0] >= alike[1]
+                on_right = at[1] is None and end == len(page) and most[1] > alike[0]
+                if on_left or on_right:
+                    return (leaders.setdefault((code, p["host"]), p["nth"]), *(None if k is None else page[k]["nth"] for k in at), on_left, on_right)
+                return None if at == [None, None] else _said(p, page[at[0] if alike[0] >= alike[1] else at[1]])
+
             for i, p in enumerate(page):
                 if p["own"] != p["run"]:
                     continue
-                for other in _nearest(page, i):
-                    found = shared(p["marks"], other["marks"])
-                    if sum(p["sizes"][k] for k in found) > NEAR * sum(p["sizes"]):
-                        continue
-                    if found:
-                        names.append(p["id"])
-                        drops.append([p["places"][k] for k in found])
-                    break
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(drops, pa.list_(pa.int32()))], ["id", "drops"])
-
-    return dealt.mapInArrow(pair, "id long, drops array<int>")
+                said, steps = None, 0
+                for other in islice(_nearest(page, i), REACH):
+                    steps += 1
+                    if (said := _said(p, other)) is not None:
+                        break
+                if said is None and steps == REACH:
+                    copies = copies or Copies(page)
+                    said = far(i)
+                if isinstance(said, tuple):
+                    out.append((p["id"], None, p["nth"], p["own"], *said))
+                elif said:
+                    out.append((p["id"], said, *[None] * 7))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    names = ["id", "drops", "nth", "own", "leader", "left", "right", "on_left", "on_right"]
+    kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5, *[pa.bool_()] * 2]
+    near = cut_lineage(dealt.mapInArrow(pair, "id long, drops array<int>, nth long, own long, leader long, left long, right long, on_left boolean, on_right boolean"))
+    open_pages = near.where("leader is not null").drop("id", "drops")
+    near = near.where("leader is null").select("id", "drops")
+    return near if open_pages.isEmpty() else near.unionByName(_far(open_pages, placed))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -254,3 +254,41 @@ def test_near_copies_do_not_delete_each_other(spark):
 def test_nearest_pages_by_common_path():
     page = [{"host": "h", "path": x} for x in ("/a", "/b/1", "/b/1/x", "/b/1/y", "/c")] + [{"host": "i", "path": "/c"}]
     assert [q["path"] for q in html._nearest(page, 2)] == ["/b/1/y", "/b/1", "/a", "/c"]
+
+
+def test_near_copies_do_not_hide_the_page_behind_them(spark):
+    """Sixty copies on one host, the only other page at the end of its paths."""
+    body = "".join(f"<p>a line of the article, number {k}" for k in range(8))
+    pages = [(k, f"http://a.org/x/{k:03d}", f"<p>Site menu{body}<p>version {k}") for k in range(60)]
+    pages.append((60, "http://a.org/y", "<p>Site menu<p>another text, which is its own"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert not any("Site menu" in text for text in got.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_pages_beyond_their_run(spark, monkeypatch, seed):
+    """Short runs: the search in and beyond them finds what a walk over the whole host finds."""
+    monkeypatch.setattr(html, "RUN", 8)
+    monkeypatch.setattr(html, "REACH", 2)
+    rng = random.Random(seed)
+    pages = []
+    for k in range(300):
+        host, kind = rng.choice(["a.org", "b.org", "b.org", "b.org"]), rng.choice([0] * 30 + [1])
+        own = f"<p>note {rng.randrange(3)}"
+        lines = [f"<p>line {kind} {j} with some more words" for j in range(6)] if kind == 0 else [f"<p>line 0 {rng.randrange(6)} with some more words", f"<p>long text that only page {k} has, with many words of its own"]
+        pages.append((k, f"http://{host}/{rng.choice('xyz')}/{rng.randrange(400):03d}", "".join(lines) + own))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    parsed = []
+    for k, url, text in pages:
+        host, path = url[7:].split("/", 1)
+        lines = [t for t, _ in html.lines_of(text)]
+        parsed.append({"id": k, "host": host, "path": "/" + path, "marks": lines, "sizes": [len(t) for t in lines], "places": list(range(len(lines)))})
+    parsed.sort(key=lambda p: (p["host"], p["path"], p["id"]))
+    want = {}
+    for i, p in enumerate(parsed):
+        said = next((x for x in (html._said(p, q) for q in html._nearest(parsed, i)) if x is not None), None)
+        if said:
+            want[p["id"]] = said
+    got = {r["id"]: r["drops"] for r in html.shared_lines(df).collect()}
+    assert got == want and len(want) > 30
