@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import itertools
 import time
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.joins import join_groups
-from panelcast.operators.moments import column_means, gram, gram_matrix, per_group
+from panelcast.operators.moments import CELL_BUDGET, column_means, gram, gram_matrix, key_groups, matrix, per_group, plain
 from panelcast.operators.splits import hash_uniform
 from panelcast.session import cut_lineage
 
@@ -190,6 +191,8 @@ def fit_grid(
 
 #: Model numbers up to which all parameter points are sent to every task.
 MODEL_NUMBERS = 8_000_000
+#: Errors (rows x points) worked out at a time: they stay in the processor's cache.
+ERRORS_AT_ONCE = 1 << 16
 
 
 def score_points(df: DataFrame, y: str, xs: Sequence[str], points: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -204,34 +207,119 @@ def score_points(df: DataFrame, y: str, xs: Sequence[str], points: DataFrame, on
     models = cut_lineage(points.select(*on, "point", "coef"))
     if models.count() * (len(xs) + 1) > MODEL_NUMBERS:
         return _score_joined(df, y, xs, models, on, by)
+    known = _as_matrices(models, on)
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    keys, p = list(dict.fromkeys([*on, *by])), len(xs)
+    schema = T.StructType([df.schema[k] for k in by] + [T.StructField("point", T.IntegerType()), T.StructField("_s", T.DoubleType()), T.StructField("_n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Errors(by)
+        for batch in batches:
+            rows = _design(batch.column("_v"), p)
+            for key, at in key_groups(batch, keys):
+                found = shared.value.get(tuple(plain(key[k]) for k in on))
+                part = rows[at]
+                part = part[~np.isnan(part).any(axis=1)]
+                if found is not None and len(part):
+                    held.add(tuple(key[k] for k in by), *found, part)
+            if held.cells > CELL_BUDGET:
+                yield held.batch(batch.schema)
+                held = _Errors(by)
+        if held.sums:
+            yield held.batch(batch.schema)
+
+    rows = df.select(*keys, F.array(*[F.col(c).cast("double") for c in xs], F.col(y).cast("double")).alias("_v"))
+    return _mean_errors(rows.mapInArrow(run, schema), by)
+
+
+def score_samples(
+    df: DataFrame, y: str, xs: Sequence[str], points: DataFrame, by: Sequence[str], draws: Sequence[Column], fold_of: Callable[[int, np.ndarray], np.ndarray]
+) -> DataFrame | None:
+    """Mean absolute error per (by, fold, point) on the rows that each fold tests; None where the models are too many for the tasks.
+
+    ``draws`` are uniforms of a row; ``fold_of(n, u)`` tells the fold in which the n-th of them tests each row, or a negative
+    number. Rows are read once and never copied for each fold.
+    """
+    by, xs, p = list(by), list(xs), len(xs)
+    models = cut_lineage(points.select(*by, "fold", "point", "coef"))
+    if models.count() * (p + 1) > MODEL_NUMBERS:
+        return None
+    shared = df.sparkSession.sparkContext.broadcast(_as_matrices(models, [*by, "fold"]))
+    schema = T.StructType([df.schema[k] for k in by] + [T.StructField("fold", T.IntegerType()), T.StructField("point", T.IntegerType()), T.StructField("_s", T.DoubleType()), T.StructField("_n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Errors([*by, "fold"])
+        for batch in batches:
+            rows, u = _design(batch.column("_v"), p), matrix(batch.column("_u"))
+            whole = ~np.isnan(rows).any(axis=1)
+            for key, at in key_groups(batch, by):
+                at = at[whole[at]]
+                name, look = tuple(key[k] for k in by), tuple(plain(key[k]) for k in by)
+                part = rows[at]
+                for n in range(u.shape[1]):
+                    fold = fold_of(n, u[at, n])
+                    for f in np.unique(fold[fold >= 0]).tolist():
+                        if (found := shared.value.get((*look, f))) is not None:
+                            held.add((*name, f), *found, part[fold == f])
+            if held.cells > CELL_BUDGET:
+                yield held.batch(batch.schema)
+                held = _Errors([*by, "fold"])
+        if held.sums:
+            yield held.batch(batch.schema)
+
+    gap = F.lit(None).cast("double")
+    v = F.array(*[F.nanvl(F.col(c).cast("double"), gap) for c in [*xs, y]])
+    return _mean_errors(df.select(*by, v.alias("_v"), F.array(*draws).alias("_u")).mapInArrow(run, schema), [*by, "fold"])
+
+
+def _as_matrices(models: DataFrame, on: Sequence[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Group to (points, models as columns over [1, x..., y])."""
     held: dict = {}
     for r in models.collect():
         held.setdefault(tuple(r[k] for k in on), []).append((r["point"], r["coef"]))
-    shared = df.sparkSession.sparkContext.broadcast(
-        {k: (np.array([p for p, _ in v], dtype="int32"), np.array([c for _, c in v], dtype=float)) for k, v in held.items()}
-    )
-    keys = list(dict.fromkeys([*on, *by]))
-    schema = T.StructType([df.schema[k] for k in by] + [T.StructField("point", T.IntegerType()), T.StructField("_s", T.DoubleType()), T.StructField("_n", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[["_y", *[f"_x{k}" for k in range(len(xs))]]].to_numpy(dtype=float)
-            whole = ~np.isnan(x).any(axis=1)
-            pdf, x = pdf[whole].reset_index(drop=True), x[whole]
-            groups = pdf.groupby(keys, sort=False, dropna=False).indices.items() if keys else [((), np.arange(len(pdf)))]
-            for key, at in groups:
-                row = dict(zip(keys, key if isinstance(key, tuple) else (key,)))
-                if not len(at) or (found := shared.value.get(tuple(row[k] for k in on))) is None:
-                    continue
-                names, coef = found
-                sums = np.zeros(len(names))
-                for a in range(0, len(at), 4096):
-                    part = x[at[a : a + 4096]]
-                    sums += np.abs(part[:, :1] - coef[:, 0] - part[:, 1:] @ coef[:, 1:].T).sum(axis=0)
-                yield pd.DataFrame({**{k: [row[k]] * len(names) for k in by}, "point": names, "_s": sums, "_n": np.full(len(names), len(at))})
-
-    rows = df.select(*keys, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(xs)])
-    sums = rows.mapInPandas(run, schema).groupBy(*by, "point").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return {
+        k: (np.array([p for p, _ in v], dtype="int32"), np.vstack([np.array([c for _, c in v], dtype=float).T, np.full(len(v), -1.0)]))
+        for k, v in ((k, sorted(v)) for k, v in held.items())
+    }
+
+
+def _design(column: pa.Array, p: int) -> np.ndarray:
+    """[1, x..., y] of a column of arrays; nulls are NaN."""
+    v = matrix(column).reshape(-1, p + 1)
+    return np.column_stack([np.ones(len(v)), v])
+
+
+class _Errors:
+    """Sums of absolute errors by group and point; they stay in the task until it ends or holds too many."""
+
+    def __init__(self, by: Sequence[str]) -> None:
+        self.by, self.sums, self.cells = list(by), {}, 0
+
+    def add(self, key: tuple, names: np.ndarray, models: np.ndarray, rows: np.ndarray) -> None:
+        sums = np.zeros(len(names))
+        step = max(16, ERRORS_AT_ONCE // len(names))
+        for at in range(0, len(rows), step):
+            e = rows[at : at + step] @ models
+            sums += np.abs(e, out=e).sum(axis=0)
+        key = (*key, names.tobytes())
+        if key not in self.sums:
+            self.sums[key] = [names, np.zeros(len(names)), 0]
+            self.cells += len(names)
+        self.sums[key][1] += sums
+        self.sums[key][2] += len(rows)
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        repeat = [len(v[0]) for v in self.sums.values()]
+        kinds = [schema.field(k).type if k in schema.names else pa.int32() for k in self.by]
+        at = np.repeat(np.arange(len(repeat)), repeat)
+        cols = [pa.array([key[i] for key in self.sums], kind).take(pa.array(at)) for i, kind in enumerate(kinds)]
+        names, sums = (np.concatenate([v[i] for v in self.sums.values()]) for i in (0, 1))
+        n = np.repeat(np.array([v[2] for v in self.sums.values()], dtype=np.int64), repeat)
+        return pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.int32()), pa.array(sums), pa.array(n)], [*self.by, "point", "_s", "_n"])
+
+
+def _mean_errors(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    sums = parts.groupBy(*by, "point").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     return sums.select(*by, "point", (F.col("_s") / F.col("_n")).alias("mae"))
 
 

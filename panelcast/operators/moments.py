@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,35 @@ NARROW = 10  # up to here the sums are plain JVM aggregates
 CELL_BUDGET = 4_000_000  # partial sums held per task before they are handed on
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length as rows; null elements are NaN."""
+    if not len(column):
+        return np.zeros((0, 1))
+    sizes = pc.list_value_length(column)
+    if column.null_count or pc.min(sizes) != pc.max(sizes):
+        raise ValueError("vectors are null or differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def plain(value):
+    """A key as ``collect`` gives it: instants without a zone."""
+    return value.astimezone().replace(tzinfo=None) if isinstance(value, datetime) and value.tzinfo else value
+
+
+def key_groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[dict, np.ndarray]]:
+    """(key by name, places) of each group of rows of a batch."""
+    if not batch.num_rows:
+        return
+    code = np.zeros(batch.num_rows, dtype=np.int64)
+    for k in keys:
+        coded = batch.column(k).dictionary_encode(null_encoding="encode")
+        code = code * len(coded.dictionary) + coded.indices.to_numpy()
+        code = np.unique(code, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+        yield {k: batch.column(k)[int(at[0])].as_py() for k in keys}, at
+
+
 def column_means(df: DataFrame, cols: Sequence[str]) -> list[float]:
     """Column means as driver numbers (one per column); used to shift data before squaring it."""
     known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
@@ -64,33 +96,31 @@ def _gram_wide(data: DataFrame, by: list[str], p: int, weight) -> DataFrame:
     )
     keep = max(1, CELL_BUDGET // ((p + 1) ** 2))
 
-    def rows(held: dict) -> Iterator[pd.DataFrame]:
+    def rows(held: dict, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
         for key, m in held.items():
-            out = {b: [key[n]] * (p + 1) for n, b in enumerate(by)}
-            yield pd.DataFrame({**out, "i": np.arange(p + 1, dtype="int32"), "row": list(m)})
+            out = [pa.array([v] * (p + 1), kinds.field(b).type) for b, v in zip(by, key, strict=True)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.arange(p + 1, dtype="int32")), pa.array(list(m), pa.list_(pa.float64()))], [*by, "i", "row"])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.vstack(pdf["_x"].to_numpy()).astype(float)
+        for batch in batches:
+            x = matrix(batch.column("_x"))
             whole = ~np.isnan(x).any(axis=1)
-            pdf, x = pdf[whole].reset_index(drop=True), x[whole]
-            x = np.column_stack([np.ones(len(x)), x])
-            groups = pdf.groupby(by, sort=False, dropna=False).indices.items() if by else [((), np.arange(len(pdf)))]
-            w = pdf["_w"].to_numpy(dtype=float) if weight else None
-            for key, at in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                g = x[at]
+            w = batch.column("_w").to_numpy(zero_copy_only=False).astype(float) if weight else None
+            for group, at in key_groups(batch, by):
+                key, at = tuple(group.values()), at[whole[at]]
+                if not len(at):
+                    continue
+                g = np.column_stack([np.ones(len(at)), x[at]])
                 m = (g * w[at, None]).T @ g if weight else g.T @ g
                 held[key] = held[key] + m if key in held else m
                 if len(held) >= keep:
-                    yield from rows(held)
+                    yield from rows(held, batch.schema)
                     held = {}
-        yield from rows(held)
+        if held:
+            yield from rows(held, batch.schema)
 
-    parts = data.mapInPandas(partial, schema)
+    parts = data.mapInArrow(partial, schema)
     cells = parts.select(*by, "i", F.posexplode("row").alias("j", "s")).where(F.col("j") >= F.col("i"))
     return cells.groupBy(*by, "i", "j").agg(F.sum("s").alias("s"))
 

@@ -12,18 +12,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.joins import range_join_folds
-from panelcast.operators.models.linear import COEF, mse_of, score_points, solve_moments
-from panelcast.operators.moments import CELL_BUDGET, column_means, gram, gram_matrix, per_group
+from panelcast.operators.models.linear import COEF, mse_of, score_points, score_samples, solve_moments
+from panelcast.operators.moments import CELL_BUDGET, column_means, gram, gram_matrix, key_groups, matrix, per_group
 from panelcast.operators.ordering import join_dates, ranged_totals
 from panelcast.operators.splits import hash_uniform, repeated_kfold
 from panelcast.session import cut_lineage
 
 
+#: Share of the rows that a bootstrap sample leaves out.
+UNDRAWN = 0.36787944117144233
+
+
 @dataclass(frozen=True)
 class KFold:
     """``repeats`` divisions of the rows into ``k`` folds by a hash of ``keys``, as ``splits.repeated_kfold`` draws them."""
@@ -141,35 +146,32 @@ def sample_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str], folds:
         w = poisson_weights(u)
         return np.hstack([w, w == 0])
 
-    def rows(held: dict) -> Iterator[pd.DataFrame]:
+    def rows(held: dict, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
         for key, m in held.items():
-            yield pd.DataFrame({**{b: [key[n]] * width for n, b in enumerate(by)}, "sample": np.arange(width, dtype="int32"), "row": list(m)})
+            out = [pa.array([v] * width, kinds.field(b).type) for b, v in zip(by, key, strict=True)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.arange(width, dtype="int32")), pa.array(list(m), pa.list_(pa.float64()))], [*by, "sample", "row"])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.vstack(pdf["_x"].to_numpy()).astype(float)
+        for batch in batches:
+            x, u = matrix(batch.column("_x")), matrix(batch.column("_u"))
             whole = ~np.isnan(x).any(axis=1)
-            pdf, x = pdf[whole].reset_index(drop=True), x[whole]
-            if pdf.empty:
-                continue
-            u = np.vstack(pdf["_u"].to_numpy())
-            x = np.column_stack([np.ones(len(x)), x])
-            groups = pdf.groupby(by, sort=False, dropna=False).indices.items() if by else [((), np.arange(len(pdf)))]
-            for key, at in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                m = weights(u[at]).T @ (x[at][:, i] * x[at][:, j])
+            for group, at in key_groups(batch, by):
+                key, at = tuple(group.values()), at[whole[at]]
+                if not len(at):
+                    continue
+                z = np.column_stack([np.ones(len(at)), x[at]])
+                m = weights(u[at]).T @ (z[:, i] * z[:, j])
                 held[key] = held[key] + m if key in held else m
                 if len(held) >= keep:
-                    yield from rows(held)
+                    yield from rows(held, batch.schema)
                     held = {}
-        yield from rows(held)
+        if held:
+            yield from rows(held, batch.schema)
 
     x = [F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(cols, shift, strict=True)]
     u = [hash_uniform(folds.keys, r, folds.seed) for r in range(draws)]
-    parts = df.select(*by, F.array(*x).alias("_x"), F.array(*u).alias("_u")).mapInPandas(partial, schema)
+    parts = df.select(*by, F.array(*x).alias("_x"), F.array(*u).alias("_u")).mapInArrow(partial, schema)
     at = F.array(*[F.struct(F.lit(int(a)).alias("i"), F.lit(int(b)).alias("j")) for a, b in zip(i, j, strict=True)])
     cells = parts.select(*by, "sample", F.posexplode("row").alias("_n", "s")).groupBy(*by, "sample", "_n").agg(F.sum("s").alias("s"))
     return cells.withColumn("_at", F.get(at, F.col("_n"))).select(*by, "sample", "_at.i", "_at.j", "s")
@@ -197,7 +199,7 @@ def fold_search(
         else:
             k = 0
             tested = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds.replicates - 1))))
-            tested = tested.where(hash_uniform(folds.keys, F.col("fold"), folds.seed) < 0.36787944117144233)
+            tested = tested.where(hash_uniform(folds.keys, F.col("fold"), folds.seed) < UNDRAWN)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {int(s): gram_matrix(part, size) for s, part in pdf.groupby("sample")}
@@ -215,8 +217,17 @@ def fold_search(
         return _solved(pairs(), grid, kind, shift, names)
 
     points = cut_lineage(per_group(cells, by, solve, _schema(names)))
-    mae = score_points(tested, y, xs, points, [*by, "fold"], [*by, "fold"]).withColumnRenamed("mae", "mae_test")
-    return points.join(mae, [*by, "fold", "point"], "left")
+    mae = None
+    if not isinstance(folds, str):
+        draws = range(folds.repeats if isinstance(folds, KFold) else folds.replicates)
+
+        def fold_of(n: int, u: np.ndarray) -> np.ndarray:
+            return n * k + np.floor(u * k).astype(int) if k else np.where(u < UNDRAWN, n, -1)
+
+        mae = score_samples(df, y, xs, points, by, [hash_uniform(folds.keys, r, folds.seed) for r in draws], fold_of)
+    if mae is None:
+        mae = score_points(tested, y, xs, points, [*by, "fold"], [*by, "fold"])
+    return points.join(mae.withColumnRenamed("mae", "mae_test"), [*by, "fold", "point"], "left")
 
 
 def over_folds(results: DataFrame, by: Sequence[str]) -> DataFrame:
