@@ -7,13 +7,14 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.models.linear import COEF, fit, predict, solve_moments
 from panelcast.operators.joins import join_groups
-from panelcast.operators.moments import gram_matrix, gram_of_vector, per_group
+from panelcast.operators.moments import gram_matrix, gram_of_vector, listed, matrix, per_group
 
 
 def fourier_map(xs: Sequence[str], sigma: float, size: int = 64, seed: int = 42) -> Column:
@@ -22,11 +23,11 @@ def fourier_map(xs: Sequence[str], sigma: float, size: int = 64, seed: int = 42)
     w = rng.normal(scale=np.sqrt(2 * sigma), size=(len(xs), size))
     c = rng.uniform(0, 2 * np.pi, size)
 
-    def z(x: pd.Series) -> pd.Series:
-        m = np.vstack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(xs)))
-        return pd.Series(list(np.sqrt(2.0 / size) * np.cos(m @ w + c)))
+    def z(x: pa.Array) -> pa.Array:
+        m = matrix(x).reshape(-1, len(xs))
+        return listed(np.sqrt(2.0 / size) * np.cos(m @ w + c))
 
-    udf = F.pandas_udf(z, T.ArrayType(T.DoubleType()))
+    udf = F.arrow_udf(z, T.ArrayType(T.DoubleType()))
     return udf(F.array(*[F.col(x).cast("double") for x in xs]))
 
 

@@ -27,6 +27,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
 
 
+def listed(rows: np.ndarray) -> pa.ListArray:
+    """The reverse of ``matrix``: NaN is null again."""
+    n, d = rows.shape
+    flat = np.ascontiguousarray(rows).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(flat, mask=np.isnan(flat)))
+
+
 def plain(value):
     """A key as ``collect`` gives it: instants without a zone."""
     return value.astimezone().replace(tzinfo=None) if isinstance(value, datetime) and value.tzinfo else value
