@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,16 +29,22 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\s0-9a-z
 
 
 class Words(dict):
-    """Ids of the words met so far, as bytes; a word not met yet is encoded."""
+    """Ids of the words met so far, as bytes; a word not met yet is merged by the vocabulary's model alone.
+
+    Words are lower-case pre-tokens already, so normalising and splitting them again would give the same.
+    """
 
     def __init__(self, tokenizer) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model, self.spell = tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        found = self.model.tokenize(word if word.isascii() else self.spell(word)[0][0])
+        ids = self[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         return ids
 
 
