@@ -13,6 +13,18 @@ from panelcast.operators.quantiles import exact_quantiles
 from panelcast.operators.reshape import to_long
 
 QUARTILES = [0.25, 0.5, 0.75]
+#: Rows whose groups a task holds.
+GROUP_ROWS = 500_000
+
+
+def in_even_parts(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` dealt by ``by``, in more parts than the session names if those would hold more than GROUP_ROWS rows each.
+
+    For groups nearly as many as the rows: the tables of groups in a task then keep their size however many rows
+    there are, and so do those of later steps by the same columns. Counting a stored table reads no rows.
+    """
+    parts = -(-df.count() // GROUP_ROWS)
+    return df.repartition(parts, *by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def total_by(df: DataFrame, keys: Sequence[str], value: str = "value", name: str = "total") -> DataFrame:

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.operators.aggregate import in_even_parts
 from panelcast.operators.reshape import to_wide
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -34,7 +35,8 @@ class Tables:
     @cached_property
     def panel(self) -> DataFrame:
         """entity = supplier, one row per supplier and day with sales."""
-        return self._daily(F.col("l_suppkey").alias("entity"))
+        lines = self.lineitem.select(F.col("l_suppkey").alias("entity"), F.to_date("l_shipdate").alias("ts"), "l_extendedprice")
+        return in_even_parts(lines, ["entity", "ts"]).groupBy("entity", "ts").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
 
     @cached_property
     def total(self) -> DataFrame:

@@ -5,7 +5,8 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from panelcast.operators import gap
+from panelcast.operators import aggregate, gap, impute
+from panelcast.plans.tables import Tables
 
 
 def _plain(x, c):
@@ -39,3 +40,18 @@ def test_rows_as_near_to_two_centres_count_once():
     sums, n, wss = gap._step(x, (x * x).sum(axis=1), c)
     assert n.tolist() == [[4.0, 2.0, 0.0]] and sums[0].tolist() == [[2.0, 0.0], [4.0, 0.0], [0.0, 0.0]]
     assert wss.tolist() == [2.0]
+
+
+def test_groups_of_a_task_stay_few(spark, tmp_path, monkeypatch):
+    """Parts stayed as many as the session names, so that one task's groups grew with the table."""
+    lines = spark.range(6000).selectExpr("if(id % 7 = 0, null, id % 50) l_suppkey", "timestamp_seconds((id % 61) * 86400) l_shipdate", "id * 1.0D l_extendedprice")
+    lines.unionByName(lines.where("l_suppkey < 3")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = Tables(spark, str(tmp_path)).panel
+    monkeypatch.setattr(aggregate, "GROUP_ROWS", 300)
+    tables = Tables(spark, str(tmp_path))
+    assert tables.panel.rdd.getNumPartitions() == -(-tables.lineitem.count() // 300) > 8
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(tables.panel) == rows(plain)
+    mean = impute.average_imputations(tables.panel.union(tables.panel), ["entity", "ts"], ["value"])
+    assert max(mean.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) < 600
+    assert rows(mean) == rows(plain)
