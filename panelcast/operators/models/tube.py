@@ -29,8 +29,8 @@ STEPS = (1.0, 0.25, 0.03125)
 MEMORY = 10
 #: Sums of a model before those of its features.
 SUMS = 6
-#: (row, model) pairs worked on at a time.
-STEP = 1 << 19
+#: Numbers of z, and of residuals of its models, worked on at a time, so that they stay in a core's cache.
+STEP = 1 << 16
 
 
 def feature_map(point: Mapping, p: int, size: int = 64, seed: int = 42):
@@ -51,12 +51,42 @@ def map_key(point: Mapping) -> tuple:
     return tuple((k, float(point[k])) for k in ("sigma", "degree", "scale") if k in point)
 
 
+def _moved(coef: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """(steps, points): models to work out at each step. Done ones have none, and one whose steps are the same place only the first."""
+    moved = (coef != coef[:1]).any(axis=2)
+    moved[0] = True
+    return moved & ~np.isnan(mu)
+
+
+def _add(out: np.ndarray, mine: np.ndarray, zz: np.ndarray, y: np.ndarray, b: np.ndarray, mu: np.ndarray, eps: np.ndarray, cost: np.ndarray, size: int) -> None:
+    """Adds the sums of some rows to those of the models ``mine``; zz is (1 + features, rows), all others (models, ...)."""
+    n = len(zz)
+    r = y - b @ zz
+    over = np.abs(r)
+    over -= eps
+    np.maximum(over, 0.0, out=over)
+    pull = np.minimum(over, mu)  # slope of the rounded loss, times mu / cost
+    loss = np.einsum("mi,mi->m", pull, over) - np.einsum("mi,mi->m", pull, pull) / 2
+    pull *= cost / mu
+    up = np.where(r > 0, pull, 0.0)
+    pull -= up
+    out[mine, 0] += loss * (cost / mu)[:, 0]
+    out[mine, 1] += cost[:, 0] * over.sum(axis=1)
+    out[mine, 2] += up @ y
+    out[mine, 3] += pull @ y
+    out[mine, 4] += np.einsum("mi,mi->m", up, up)
+    out[mine, 5] += np.einsum("mi,mi->m", pull, pull)
+    out[mine, SUMS : SUMS + n] += up @ zz.T
+    out[mine, SUMS + size + 1 : SUMS + size + 1 + n] += pull @ zz.T
+
+
 def _totals(rows: DataFrame, shared, p: int, size: int, width: int) -> dict[int, np.ndarray]:
     """Sums of all models of each group: (steps, models, width) numbers a group reach the driver."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, points, maps = shared.value
         held: dict[int, np.ndarray] = {}
+        eps, cost = (np.array([float(q[c]) for q in points]) for c in ("epsilon", "cost"))
         for g, part, _ in _parts(batches, p):
             if g not in state:
                 continue
@@ -64,34 +94,24 @@ def _totals(rows: DataFrame, shared, p: int, size: int, width: int) -> dict[int,
             x, y = part["x"][known], part["y"][known]
             coef, mu = state[g]  # (steps, points, 1 + size), (points)
             out = held.setdefault(g, np.zeros((len(coef), coef.shape[1], width)))
+            moved = _moved(coef, mu)
             for key in dict.fromkeys(maps):
-                mine = np.array([k for k, m in enumerate(maps) if m == key and not np.isnan(mu[k])], dtype=int)
-                if not len(mine):
+                of_map = np.array([m == key for m in maps])
+                tries = [(t, mine) for t, mine in enumerate(np.flatnonzero(which & of_map) for which in moved) if len(mine)]
+                if not tries:
                     continue
                 z = feature_map(dict(key), p, size)
-                eps = np.array([float(points[k]["epsilon"]) for k in mine])
-                cost = np.array([float(points[k]["cost"]) for k in mine])
-                rows_at_once = max(1, STEP // (len(mine) * len(coef)))
+                rows_at_once = max(64, STEP // max(len(tries[0][1]), len(z(np.zeros((1, p)))[0]) + 1))
                 for at in range(0, len(y), rows_at_once):
                     zz = z(x[at : at + rows_at_once])
-                    zz = np.column_stack([np.ones(len(zz)), zz])
-                    yy = y[at : at + rows_at_once]
-                    for t in range(len(coef)):
-                        b = coef[t, mine][:, : zz.shape[1]]
-                        r = yy[:, None] - zz @ b.T
-                        over = np.maximum(np.abs(r) - eps, 0.0)
-                        pull = cost * np.minimum(over / mu[mine], 1.0)  # slope of the rounded loss
-                        loss = cost * np.where(over < mu[mine], over * over / (2 * mu[mine]), over - mu[mine] / 2)
-                        up, down = pull * (r > 0), pull * (r < 0)
-                        n = zz.shape[1]
-                        out[t, mine, 0] += loss.sum(axis=0)
-                        out[t, mine, 1] += (cost * over).sum(axis=0)
-                        out[t, mine, 2] += up.T @ yy
-                        out[t, mine, 3] += down.T @ yy
-                        out[t, mine, 4] += (up * up).sum(axis=0)
-                        out[t, mine, 5] += (down * down).sum(axis=0)
-                        out[t, mine, SUMS : SUMS + n] += up.T @ zz
-                        out[t, mine, SUMS + size + 1 : SUMS + size + 1 + n] += down.T @ zz
+                    zz = np.concatenate([np.ones((1, len(zz))), zz.T])
+                    n = len(zz)
+                    for t, mine in tries:
+                        _add(out[t], mine, zz, y[at : at + rows_at_once], coef[t, mine, :n], mu[mine, None], eps[mine, None], cost[mine, None], size)
+        for g, out in held.items():
+            coef, mu = state[g]
+            for t, which in enumerate(_moved(coef, mu)[1:], 1):
+                out[t, ~which] = out[0, ~which]
         for g, m in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([m.tobytes()], pa.binary())], ["g", "sums"])
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from panelcast.operators import aggregate, gap, impute
+from panelcast.operators.models import tube
 from panelcast.plans.tables import Tables
 
 
@@ -42,6 +43,26 @@ def test_rows_as_near_to_two_centres_count_once():
     assert wss.tolist() == [2.0]
 
 
+def test_sums_of_a_pass_and_steps_that_stay():
+    """Models that stand still were worked out three times a pass, and few models made short inner loops."""
+    rng = np.random.default_rng(5)
+    x, y, coef = rng.normal(size=(70, 3)), rng.normal(size=70), rng.normal(size=(3, 4))
+    coef = np.stack([coef, coef, coef * [[1], [0.5], [1]]])
+    assert tube._moved(coef, np.array([1.0, 1.0, np.nan])).tolist() == [[True, True, False], [False, False, False], [False, True, False]]
+    cost, eps, mu = (np.array(v)[:, None] for v in ([1.0, 0.3], [0.1, 0.4], [0.05, 0.8]))
+    out = np.zeros((3, tube.SUMS + 8))
+    zz = np.concatenate([np.ones((1, 70)), x.T])
+    for rows in (slice(0, 40), slice(40, 70)):
+        tube._add(out, np.array([0, 2]), zz[:, rows], y[rows], coef[0, [0, 2]], mu, eps, cost, 3)
+    r = y - coef[0, [0, 2]] @ zz
+    over = np.maximum(np.abs(r) - eps, 0)
+    pull = cost * np.minimum(over / mu, 1)
+    loss = cost * np.where(over < mu, over**2 / (2 * mu), over - mu / 2)
+    up, down = pull * (r > 0), pull * (r < 0)
+    want = np.column_stack([loss.sum(1), (cost * over).sum(1), up @ y, down @ y, (up**2).sum(1), (down**2).sum(1), up @ zz.T, down @ zz.T])
+    assert out[[0, 2]] == pytest.approx(want) and not out[1].any()
+
+
 def test_groups_of_a_task_stay_few(spark, tmp_path, monkeypatch):
     """Parts stayed as many as the session names, so that one task's groups grew with the table."""
     lines = spark.range(6000).selectExpr("if(id % 7 = 0, null, id % 50) l_suppkey", "timestamp_seconds((id % 61) * 86400) l_shipdate", "id * 1.0D l_extendedprice")
