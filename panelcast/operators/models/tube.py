@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.models.grove import Held, _parts
 from panelcast.operators.models.linear import COEF
+from panelcast.session import remove_scratch, scratch_path
 
 #: Passes until every model must have settled.
 PASSES = 600
@@ -31,6 +32,8 @@ MEMORY = 10
 SUMS = 6
 #: Numbers of z, and of residuals of its models, worked on at a time, so that they stay in a core's cache.
 STEP = 1 << 16
+#: Bytes of a block of rows; a batch that a task reads holds thousands of blocks.
+BLOCK = 4096
 
 
 def feature_map(point: Mapping, p: int, size: int = 64, seed: int = 42):
@@ -80,18 +83,46 @@ def _add(out: np.ndarray, mine: np.ndarray, zz: np.ndarray, y: np.ndarray, b: np
     out[mine, SUMS + size + 1 : SUMS + size + 1 + n] += pull @ zz.T
 
 
+def _blocks(rows: DataFrame, p: int) -> tuple[DataFrame, str]:
+    """``g, data``: the rows that have target and predictors, as stored blocks of numbers, and their path.
+
+    Every pass reads them, and a block costs what a row would.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_once = max(1, BLOCK // (8 * (p + 1)))
+        for g, part, _ in _parts(batches, p):
+            known = ~np.isnan(part["y"]) & ~np.isnan(part["x"]).any(axis=1)
+            m = np.column_stack([part["y"][known], part["x"][known]])
+            data = [m[at : at + at_once].tobytes() for at in range(0, len(m), at_once)]
+            if data:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), g, "int64")), pa.array(data, pa.binary())], ["g", "data"])
+
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "tube")
+    rows.mapInArrow(pack, "g long, data binary").write.parquet(path)
+    return spark.read.schema("g long, data binary").parquet(path), path
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, x, y) of the blocks of a group that follow one another in a batch."""
+    for batch in batches:
+        g = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1), len(g)] if len(g) else []
+        for a, b in zip(cuts, cuts[1:]):
+            m = np.frombuffer(b"".join(batch.column(1).slice(a, b - a).to_pylist())).reshape(-1, 1 + p)
+            yield int(g[a]), m[:, 1:], m[:, 0]
+
+
 def _totals(rows: DataFrame, shared, p: int, size: int, width: int) -> dict[int, np.ndarray]:
-    """Sums of all models of each group: (steps, models, width) numbers a group reach the driver."""
+    """Sums of all models of each group over the blocks ``rows``: (steps, models, width) numbers a group reach the driver."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, points, maps = shared.value
         held: dict[int, np.ndarray] = {}
         eps, cost = (np.array([float(q[c]) for q in points]) for c in ("epsilon", "cost"))
-        for g, part, _ in _parts(batches, p):
+        for g, x, y in _unpacked(batches, p):
             if g not in state:
                 continue
-            known = ~np.isnan(part["y"]) & ~np.isnan(part["x"]).any(axis=1)
-            x, y = part["x"][known], part["y"][known]
             coef, mu = state[g]  # (steps, points, 1 + size), (points)
             out = held.setdefault(g, np.zeros((len(coef), coef.shape[1], width)))
             moved = _moved(coef, mu)
@@ -244,12 +275,13 @@ def _slice_models(rows: DataFrame, groups: list[int], points: Sequence[Mapping],
     start = np.zeros((len(groups) * k, 1 + size))
     start[:, 0] = np.repeat([base[g][0] for g in groups], k)
     width = SUMS + 2 * (size + 1)
+    blocks, path = _blocks(rows, p)
 
     def evaluate(tries: np.ndarray, mu: np.ndarray) -> np.ndarray:
         parts = {g: slice(i * k, (i + 1) * k) for i, g in enumerate(groups)}
         state = {g: (tries[:, at], mu[at]) for g, at in parts.items() if not np.isnan(mu[at]).all()}
         shared = spark.sparkContext.broadcast((state, list(points), maps))
-        found = _totals(rows, shared, p, size, width)
+        found = _totals(blocks, shared, p, size, width)
         shared.unpersist()
         sums = np.zeros((len(tries), len(start), width))
         for g, m in found.items():
@@ -258,6 +290,7 @@ def _slice_models(rows: DataFrame, groups: list[int], points: Sequence[Mapping],
 
     cost, epsilon = (np.tile([float(q[c]) for q in points], len(groups)) for c in ("cost", "epsilon"))
     best, objective, bound = settle(evaluate, start, 0.25 * np.repeat([max(base[g][1], 1e-9) for g in groups], k), cost, epsilon, tol)
+    remove_scratch(spark, path)
     return {g: (best[i * k : (i + 1) * k], objective[i * k : (i + 1) * k], bound[i * k : (i + 1) * k]) for i, g in enumerate(groups)}
 
 

@@ -76,3 +76,15 @@ def test_groups_of_a_task_stay_few(spark, tmp_path, monkeypatch):
     mean = impute.average_imputations(tables.panel.union(tables.panel), ["entity", "ts"], ["value"])
     assert max(mean.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) < 600
     assert rows(mean) == rows(plain)
+
+
+def test_passes_read_blocks_of_whole_rows(spark):
+    """Every pass read the rows one by one, with columns that it did not need."""
+    rng = np.random.default_rng(6)
+    rows = [(int(g), float(i), [float(v) for v in rng.normal(size=2)]) for i, g in enumerate(np.repeat([7, 9], [300, 5]))]
+    rows += [(9, float("nan"), [1.0, 2.0]), (7, 1.0, [float("nan"), 2.0])]
+    df = spark.createDataFrame([(g, 0, "train", y, x) for g, y, x in rows], "g long, h long, split string, y double, x array<double>").coalesce(1)
+    blocks, _ = tube._blocks(df, 2)
+    assert blocks.count() < 8
+    back = [(g, *v) for g, x, y in tube._unpacked(iter(blocks.toArrow().combine_chunks().to_batches()), 2) for v in np.column_stack([y, x]).tolist()]
+    assert sorted(back) == sorted((g, y, *x) for g, y, x in rows[:-2])
