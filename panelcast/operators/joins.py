@@ -30,14 +30,14 @@ def inner_join_named(a: DataFrame, b: DataFrame, left_key: str, right_key: str)
 SMALL = 1_000_000
 
 
-def join_groups(df: DataFrame, side: DataFrame, on: Sequence[str], width: int = 1, how: str = "inner") -> DataFrame:
+def join_groups(df: DataFrame, side: DataFrame, on: Sequence[str], width: int = 1, how: str = "inner", numbers: int | None = None) -> DataFrame:
     """Join a table with one row per group (``width`` numbers each) to its rows.
 
-    With few groups the rows stay where they are: ``side`` is stored, counted and broadcast. A larger
+    With few groups the rows stay where they are: ``side`` is stored, counted and broadcast (up to ``numbers``, else SMALL). A larger
     side is shuffled, and Spark splits the groups that are hot.
     """
     stored = cut_lineage(side)
-    small = stored.count() * max(1, width) <= SMALL
+    small = stored.count() * max(1, width) <= (SMALL if numbers is None else numbers)
     return df.join(F.broadcast(stored) if small else stored.hint("merge"), list(on), how)
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.joins import join_groups
-from panelcast.operators.models.linear import fit, predict
+from panelcast.operators.models.linear import fit, linear_score
 from panelcast.operators.moments import per_group
+from panelcast.session import scratch_path
 
 
 def _basis(ts: str, lo: Column, hi: Column, knots: int) -> dict[str, Column]:
@@ -25,14 +26,29 @@ def _basis(ts: str, lo: Column, hi: Column, knots: int) -> dict[str, Column]:
     return out
 
 
+#: Numbers of curves up to which all are sent to every task.
+CURVE_NUMBERS = 4_000_000
+
+
 def smooth_trend(panel: DataFrame, knots: int = 5, by: Sequence[str] = ("entity",), ts: str = "ts", value: str = "value") -> DataFrame:
-    """Cubic-spline least squares per group, evaluated on the dates of the group."""
-    ends = panel.agg(F.struct(F.unix_date(F.min(ts)).alias("lo"), F.unix_date(F.max(ts)).alias("hi")).alias("e")).scalar()
-    based = panel.withColumn("_e", ends)
-    basis = _basis(ts, F.col("_e.lo"), F.col("_e.hi"), knots)
-    based = based.withColumns(basis).drop("_e")
-    models = fit(based, value, list(basis), by)
-    return predict(based, models, list(basis), by, "smooth").select(*by, ts, value, "smooth")
+    """Cubic-spline least squares per group, evaluated on the dates of the group.
+
+    The rows are worked out and shuffled once and stored with the rows of a group side by side: the many sums of a group
+    are then added up where its rows lie, and the later passes read three columns.
+    """
+    by, spark = list(by), panel.sparkSession
+    path = scratch_path(spark, "trend")
+    kept = panel.select(*by, ts, value)
+    kept.repartitionByRange(*by, ts).write.parquet(path)
+    rows = spark.read.schema(kept.schema).parquet(path)
+    lo, hi = (F.lit(v).cast("int") for v in rows.agg(F.unix_date(F.min(ts)), F.unix_date(F.max(ts))).first())
+    basis = _basis(ts, lo, hi, knots)
+    models = fit(rows.withColumns(basis), value, list(basis), by)
+    if by:
+        joined = join_groups(rows, models.select(*by, "coef"), by, len(basis) + 1, numbers=CURVE_NUMBERS)
+    else:
+        joined = rows.withColumn("coef", models.select("coef").scalar())
+    return joined.withColumns(basis).select(*by, ts, value, linear_score("coef", list(basis)).alias("smooth"))
 
 
 def binned_trend(panel: DataFrame, days: int = 30, by: Sequence[str] = ("entity",), ts: str = "ts", value: str = "value") -> DataFrame:

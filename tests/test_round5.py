@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from panelcast.operators import gap
+from panelcast.operators import gap, smooth
 from tests.test_round4 import _plain
 
 
@@ -36,3 +36,27 @@ def test_draws_without_logarithms_are_the_same():
     for n in (1, 5, 3_000):
         u, weight = rng.uniform(1e-9, 1, n), rng.choice([0.0, 1e-12, 0.3, 7.0], n)
         assert gap._first_to_come(u, weight) == int((-np.log(u) / np.maximum(weight, 1e-300)).argmin())
+
+
+def test_curves_read_the_panel_once(spark, monkeypatch):
+    """Every pass worked the panel out again, and groups were spread over all tasks with all their sums."""
+    rng = np.random.default_rng(9)
+    data = [(None if e == 7 else e, None if k == 5 else 19_000 + 3 * k, float(v)) for e in range(12) for k, v in enumerate(rng.normal(size=40))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    panel = spark.createDataFrame(data, "entity int, d int, value double").selectExpr("entity", "date_from_unix_date(d) ts", "value").repartition(5)
+    counting = panel.mapInArrow(counted, panel.schema)
+    got = sorted(smooth.smooth_trend(counting).dropna().collect())
+    assert read.value <= 2 * len(data)  # once for the bounds of the ranges, once to store them
+    assert smooth.smooth_trend(panel).count() == 11 * 40
+    monkeypatch.setattr(smooth, "CURVE_NUMBERS", 0)
+    assert sorted(smooth.smooth_trend(panel).dropna().collect()) == [(e, t, v, pytest.approx(s)) for e, t, v, s in got]
+    t = (np.array([r[1].toordinal() for r in got if r[0] == 3]) - got[0][1].toordinal()) / 117.0
+    basis = np.column_stack([np.ones(len(t)), t, t**2, t**3, *[np.maximum(0, t - k / 6) ** 3 for k in range(1, 6)]])
+    value = np.array([r[2] for r in got if r[0] == 3])
+    assert [r[3] for r in got if r[0] == 3] == pytest.approx(basis @ np.linalg.lstsq(basis, value, rcond=None)[0], abs=1e-6)
