@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators.models.linear import linear_score, solve_moments
+from panelcast.operators.models.linear import solve_moments
 from panelcast.operators.moments import column_means, gram, gram_matrix
 from panelcast.operators.quantiles import exact_quantiles
 from panelcast.operators.reshape import to_long
@@ -41,10 +42,11 @@ def impute_pmm(
     incomplete column: moments of the observed rows, coefficients and a draw around them per chain, predictions, then
     the donors. The nearest ``donors`` of a missing row lie among the ``donors`` observed rows on either side of its
     place in the order of the predictions, so a task that goes through a stretch of that order finds them (``_donors``).
+    Observed rows travel to their stretch as blocks of numbers (``_dealt``) and are put in order there.
     """
     keys, cols = list(keys), list(cols)
     spark = df.sparkSession
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    counts = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     holes = [c for c in cols if counts[c]]
     marked = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).withColumns(
         {f"_na_{c}": F.col(c).isNull() for c in holes}
@@ -58,6 +60,8 @@ def impute_pmm(
     twice = gappy.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias("_twice"))
     state, path = _store(gappy.join(twice, keys, "left").withColumn("imp", chains), "pmm-gaps")
     at = column_means(base, cols)
+    some = base.sample(min(1.0, SAMPLE / max(1, counts["_n"])), seed).select(*cols, *[f"_na_{c}" for c in holes]).toPandas()  # where to part the order, no more
+    stretches = max(-(-counts["_n"] // STRETCH_ROWS), -(-spark.sparkContext.defaultParallelism // m))
     fixed = gram_matrix(gram(whole, cols, (), at).toPandas(), len(cols) + 1)
     sums = np.array(whole.agg(*[F.sum(c) for c in cols]).first(), dtype=float) if fixed[0, 0] else np.zeros(len(cols))
     for sweep in range(maxit):
@@ -68,7 +72,7 @@ def impute_pmm(
             n = m * fixed[0, 0] + row[0]
             shift = [(m * sums[k] + (v or 0.0)) / n for k, v in zip(known, row[1:])]
             moments = _shifted(fixed[np.ix_([0, *[k + 1 for k in known]], [0, *[k + 1 for k in known]])], [at[k] - s for k, s in zip(known, shift)])
-            drawn, held = _draw_column(whole, state, keys, c, order, donors, seed + 1000 * sweep, moments, shift, m)
+            drawn, held = _draw_column(whole, state, keys, c, order, donors, seed + 1000 * sweep, moments, shift, m, some, stretches)
             state, new = _store(
                 state.join(drawn, ["imp", *keys], "left")
                 .withColumn(c, F.when(F.col(f"_na_{c}"), F.coalesce("_new", c)).otherwise(F.col(c)))
@@ -100,7 +104,8 @@ def _shifted(g: np.ndarray, by: Sequence[float]) -> np.ndarray:
 
 
 def _draw_column(
-    whole: DataFrame, state: DataFrame, keys: list[str], c: str, order: list[str], donors: int, seed: int, moments: np.ndarray, shift: list[float], m: int
+    whole: DataFrame, state: DataFrame, keys: list[str], c: str, order: list[str], donors: int, seed: int, moments: np.ndarray, shift: list[float], m: int,
+    some: pd.DataFrame, stretches: int,
 ) -> tuple[DataFrame, str]:
     """``imp, keys, _new`` for the rows in which ``c`` is missing, and the path of what it reads.
 
@@ -123,22 +128,15 @@ def _draw_column(
         vals, vecs = np.linalg.eigh(inv)
         step = sigma * vecs @ (np.sqrt(np.clip(vals, 0, None)) * rng.standard_normal(size - 1))
         models[imp] = beta, beta + np.concatenate([[step[0] - step[1:] @ np.asarray(shift[:-1])], step[1:]])
-    array = lambda b: F.array(*[F.lit(float(x)) for x in b])
-    fitted = F.array(*[F.struct(F.lit(i).alias("imp"), array(b).alias("_b"), array(d).alias("_d")) for i, (b, d) in models.items()])
-    if not models:
-        fitted = F.array().cast("array<struct<imp:int,_b:array<double>,_d:array<double>>>")
     h, value = F.xxhash64(*keys, F.lit(seed)).alias("_h"), F.col(c).alias("_v")
     named = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])  # a row without a key can't be met again
     key = F.struct(*keys, "_twice", hash_uniform([*keys, "imp"], c, seed).alias("_u"))
-    pool = whole.select("*", F.inline(fitted)).select("imp", linear_score("_b", others).alias("_p"), F.lit(False).alias("_na"), h, value, F.lit(None).alias("_k"))
-    one = state.withColumn("_m", F.get(F.filter(fitted, lambda x: x["imp"] == F.col("imp")), F.lit(0))).where("_m is not null")
     missing = F.col(f"_na_{c}")
-    fit = F.when(missing, linear_score("_m._d", others)).otherwise(linear_score("_m._b", others))
-    own = one.where(~missing | named).select("imp", fit.alias("_p"), missing.alias("_na"), h, value, F.when(missing, key).alias("_k"))
-    placed = own.unionByName(pool.withColumn("_k", F.col("_k").cast(own.schema["_k"].dataType)))
-    by = ["imp", "_p", "_na", "_h"]
-    placed = placed.repartitionByRange(*by).sortWithinPartitions(*by).select("imp", "_p", "_na", "_v", "_k", F.spark_partition_id().alias("_r"))
-    found, held = _store(_donors(placed, donors), "pmm-donors")
+    one = state.where(F.col("imp").isin(list(models)) & (~missing | named))
+    own = one.select("imp", *others, missing.alias("_na"), h, value, F.when(missing, key).alias("_k"))
+    bounds = _bounds(some, c, others, models, stretches, seed)
+    placed = _dealt(whole.select(*others, h, value), own, others, models, bounds, stretches)
+    found, held = _store(_donors(placed, donors, sorted(models), stretches), "pmm-donors")
 
     # the first and last observed rows of every stretch, for the missing rows near its ends
     edges: dict = {}
@@ -164,11 +162,149 @@ def _draw_column(
 
 #: Bits of a row's number within its stretch of the order.
 STRETCH = 40
+#: Rows of a stretch, rows that a task gathers before it deals them out, and rows that show where to part the order.
+STRETCH_ROWS, BLOCK_ROWS, SAMPLE = 1_000_000, 1_000_000, 50_000
 
 
-def _donors(placed: DataFrame, donors: int) -> DataFrame:
+def _bounds(some: pd.DataFrame, c: str, others: list[str], models: dict, stretches: int, seed: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each chain the (prediction, missing, hash) that part its order into ``stretches``: even shares of some rows."""
+    na, x = some[f"_na_{c}"].to_numpy(bool), [some[o].to_numpy(float) for o in others]
+    h = np.random.default_rng(seed).integers(-(2**63), 2**63 - 1, len(some), dtype=np.int64)
+    out = {}
+    for imp, (b, d) in models.items():
+        p = np.where(na, _predicted(d, x), _predicted(b, x))
+        order = np.lexsort((h, na, p))[np.arange(1, stretches) * len(p) // stretches] if len(p) else np.zeros(0, int)
+        out[imp] = p[order], na[order], h[order]
+    return out
+
+
+def _predicted(b: Sequence[float], x: Sequence[np.ndarray]) -> np.ndarray:
+    """``linear_score`` of columns."""
+    out = np.full(len(x[0]) if x else 1, float(b[0]))
+    for k, v in enumerate(x):
+        out += float(b[k + 1]) * v
+    return out
+
+
+def _place(bounds: tuple[np.ndarray, np.ndarray, np.ndarray], p: np.ndarray, na: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Stretch of each row; equal predictions are parted by the other two."""
+    at = np.searchsorted(bounds[0], p, side="left")
+    tied = np.flatnonzero(np.searchsorted(bounds[0], p, side="right") > at)
+    for bp, bna, bh in zip(*bounds, strict=True) if len(tied) else ():
+        same = tied[(p[tied] == bp) | (np.isnan(p[tied]) & np.isnan(bp))]
+        at[same] += (na[same] > bna) | ((na[same] == bna) & (h[same] >= bh))
+    return at
+
+
+def _packed(r: np.ndarray, p: np.ndarray, h: np.ndarray, v: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The numbers of the rows of each stretch in one piece."""
+    order = np.argsort(r, kind="stable")
+    numbers, first = np.unique(r[order], return_index=True)
+    return numbers.tolist(), [p[at].tobytes() + h[at].tobytes() + v[at].tobytes() for at in np.split(order, first[1:])]
+
+
+def _dealt(whole: DataFrame, own: DataFrame, others: list[str], models: dict, bounds: dict, stretches: int) -> DataFrame:
+    """``_r, _p, _h, _k, _b``: blocks ``_b`` of observed rows and single missing rows, the rows of stretch ``_r`` together.
+
+    ``whole`` (predictors, _h, _v) are the rows that every chain has; ``own`` (imp, predictors, _na, _h, _v, _k) those of a chain.
+    """
+    first = {imp: i * stretches for i, imp in enumerate(sorted(models))}
+    key = own.schema["_k"].dataType
+    numbers = lambda column: column.to_numpy(zero_copy_only=False).astype(float, copy=False)
+
+    def every_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            *x, h, v = (np.concatenate(c) for c in zip(*held, strict=True))
+            for imp, (b, _) in models.items():
+                p = np.broadcast_to(_predicted(b, x), len(h))
+                r, packed = _packed(first[imp] + _place(bounds[imp], p, np.zeros(len(h), bool), h), p, h, v)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(packed, pa.binary())], ["_r", "_b"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append((*(numbers(c) for c in batch.columns[:-2]), np.asarray(batch.column("_h")), numbers(batch.column("_v"))))
+            size += batch.num_rows
+            if size >= BLOCK_ROWS:
+                yield from blocks(held)
+                held, size = [], 0
+        if size:
+            yield from blocks(held)
+
+    def one_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_r", "_p", "_h", "_k", "_b"]
+
+        def blocks(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            r, packed = _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.nulls(len(r), pa.float64()), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), kind), pa.array(packed, pa.binary())], names)
+
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            imp, h, v, x = np.asarray(batch.column("imp")), np.asarray(batch.column("_h")), numbers(batch.column("_v")), [numbers(batch.column(o)) for o in others]
+            na, kind = batch.column("_na").to_numpy(zero_copy_only=False), batch.column("_k").type
+            p, r = np.zeros(len(imp)), np.zeros(len(imp), dtype=int)
+            for i in np.unique(imp).tolist():
+                at = np.flatnonzero(imp == i)
+                p[at] = np.where(na[at], *(_predicted(b, [o[at] for o in x]) for b in reversed(models[i])))
+                r[at] = first[i] + _place(bounds[i], p[at], na[at], h[at])
+            gone = np.flatnonzero(na)
+            if len(gone):
+                yield pa.RecordBatch.from_arrays([pa.array(r[gone].astype("int32")), pa.array(p[gone]), pa.array(h[gone]), batch.column("_k").take(pa.array(gone)), pa.nulls(len(gone), pa.binary())], names)
+            held.append((r[~na], p[~na], h[~na], v[~na]))
+            size += batch.num_rows - len(gone)
+            if size >= BLOCK_ROWS:
+                yield blocks(held, kind)
+                held, size = [], 0
+        if size:
+            yield blocks(held, kind)
+
+    none = F.lit(None)
+    pool = whole.mapInArrow(every_chain, "_r int, _b binary").select("_r", none.cast("double").alias("_p"), none.cast("long").alias("_h"), none.cast(key).alias("_k"), "_b")
+    own_schema = T.StructType([T.StructField("_r", T.IntegerType()), T.StructField("_p", T.DoubleType()), T.StructField("_h", T.LongType()), T.StructField("_k", key), T.StructField("_b", T.BinaryType())])
+    parts = max(1, stretches * len(models))
+    return own.mapInArrow(one_chain, own_schema).unionByName(pool).repartitionById(parts, "_r")
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], chains: Sequence[int], stretches: int) -> Iterator[pa.RecordBatch]:
+    """The rows (imp, _p, _na, _v, _k, _r) of a stretch in order of prediction, missing and hash, from its blocks and missing rows."""
+    p, h, v, gone, r = [], [], [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        r, kind = batch.column("_r")[0].as_py(), batch.column("_k").type
+        for block in batch.column("_b").drop_null():
+            x = np.frombuffer(block.as_buffer(), dtype=float).reshape(3, -1)
+            p.append(x[0])
+            h.append(x[1].view(np.int64))
+            v.append(x[2])
+        single = batch.filter(batch.column("_b").is_null())
+        if single.num_rows:
+            gone.append((np.asarray(single.column("_p")), np.asarray(single.column("_h")), single.column("_k")))
+    if r is None:
+        return
+    seen = sum(map(len, p))
+    p, h = (np.concatenate([*x, *(g[i] for g in gone)]) for i, x in enumerate((p, h)))
+    na = np.arange(len(p)) >= seen
+    v = np.concatenate([*v, np.full(len(p) - seen, np.nan)])
+    order = np.argsort(p, kind="stable")
+    same = p[order[1:]] == p[order[:-1]]
+    tied = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+    order[tied] = order[tied][np.lexsort((h[order[tied]], na[order[tied]], p[order[tied]]))]
+    keys = pa.concat_arrays([g[2] for g in gone]) if gone else pa.nulls(0, kind)
+    spot = pa.array(order - seen, pa.int64(), mask=~na[order])
+    n = len(order)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, chains[r // stretches], "int32")), pa.array(p[order]), pa.array(na[order]), pa.array(v[order]), keys.take(spot), pa.array(np.full(n, r, "int32"))],
+        ["imp", "_p", "_na", "_v", "_k", "_r"],
+    )
+
+
+def _donors(placed: DataFrame, donors: int, chains: Sequence[int] = (), stretches: int = 0) -> DataFrame:
     """Donors of the missing rows in every partition of ``placed`` (imp, _p, _na, _v, _k, _r), which is a stretch of the order.
 
+    With ``stretches`` for each of the ``chains``, ``placed`` is what ``_dealt`` gives, and is put in order here.
+
     Rows of ``_kind`` 0 are missing rows with their drawn value ``_new``; of kind 1 those that have too few observed rows
     before or after them in the stretch, or share their key with others, with the observed rows around them; of kind 2 the
     first and last observed rows of a chain in the stretch. A task keeps the rows from the first undecided one on.
@@ -232,7 +368,7 @@ def _donors(placed: DataFrame, donors: int) -> DataFrame:
             at, p, v = (np.array(x) for x in zip(*ends))
             return [out(2, now, r, np.zeros(1, "int64"), np.zeros(1), pa.nulls(1, key_type[0]), pa.nulls(1, pa.float64()), lists([np.arange(len(ends))], at.astype("int64"), p.astype(float), v.astype(float)))]
 
-        for batch in batches:
+        for batch in _in_order(batches, chains, stretches) if stretches else batches:
             if not batch.num_rows:
                 continue
             key_type[:] = [batch.column(4).type]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from panelcast.operators import gap, smooth
+from panelcast.operators import gap, impute, smooth
 from tests.test_round4 import _plain
 
 
@@ -60,3 +60,37 @@ def test_curves_read_the_panel_once(spark, monkeypatch):
     basis = np.column_stack([np.ones(len(t)), t, t**2, t**3, *[np.maximum(0, t - k / 6) ** 3 for k in range(1, 6)]])
     value = np.array([r[2] for r in got if r[0] == 3])
     assert [r[3] for r in got if r[0] == 3] == pytest.approx(basis @ np.linalg.lstsq(basis, value, rcond=None)[0], abs=1e-6)
+
+
+def test_observed_rows_travel_in_blocks(spark, monkeypatch):
+    """Every observed row of every chain was shuffled and sorted as a row of its own for every draw."""
+    n = 900
+    rows = [(None if i % 200 == 7 else i % 850, float(i % 3), float(i % 5) if i % 4 else None, None if i % 7 == 0 else float(i % 50)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double").repartition(4)
+    shuffled, dealt = [], impute._dealt
+
+    def looked_at(*args):
+        out = dealt(*args)
+        shuffled.append((out.where("_b is not null").count(), out.where("_b is null").count(), args[1].where("not _na").count() + 2 * args[0].count()))
+        return out
+
+    monkeypatch.setattr(impute, "_dealt", looked_at)
+    monkeypatch.setattr(impute, "STRETCH_ROWS", 10_000)
+    plain = sorted(map(str, impute.impute_pmm(df, ["k"], ["a", "b", "c"], m=2, maxit=1).collect()))
+    blocks, single, observed = shuffled[0]
+    assert blocks < observed / 2 and 0 < single < observed
+    monkeypatch.setattr(impute, "_dealt", dealt)
+    monkeypatch.setattr(impute, "STRETCH_ROWS", 90)
+    monkeypatch.setattr(impute, "BLOCK_ROWS", 64)
+    assert sorted(map(str, impute.impute_pmm(df, ["k"], ["a", "b", "c"], m=2, maxit=1).collect())) == plain
+
+
+def test_equal_predictions_are_parted(spark):
+    """Rows with one prediction come to one task unless their hashes part them."""
+    rng = np.random.default_rng(2)
+    n = 4_000
+    p, na, h = rng.choice([1.0, 2.0, np.nan], n, p=[0.8, 0.1, 0.1]), rng.random(n) < 0.3, rng.integers(-(2**63), 2**63 - 1, n)
+    order = np.lexsort((h, na, p))
+    at = order[np.arange(1, 20) * n // 20]
+    place = impute._place((p[at], na[at], h[at]), p, na, h)
+    assert (np.diff(place[order]) >= 0).all() and np.bincount(place).tolist() == [200] * 20
