@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from panelcast.operators import gap, impute, smooth
+from panelcast.operators.models import grove
 from tests.test_round4 import _plain
 
 
@@ -94,3 +95,15 @@ def test_equal_predictions_are_parted(spark):
     at = order[np.arange(1, 20) * n // 20]
     place = impute._place((p[at], na[at], h[at]), p, na, h)
     assert (np.diff(place[order]) >= 0).all() and np.bincount(place).tolist() == [200] * 20
+
+
+def test_draws_of_a_tree_look_up_their_counts(monkeypatch):
+    """The count of every row was searched for, and its hash mixed anew for every tree."""
+    u = np.concatenate([np.random.default_rng(1).random(50_000), grove.SHARES[:6], np.nextafter(grove.SHARES[:6], 0), [0.0, 1 - 2.0**-53], np.arange(4096) / 4096])
+    want, searched = np.searchsorted(grove.SHARES, u, side="right"), []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, **k: (searched.append(len(v)), search(a, v, **k))[1])
+    assert (grove._poisson(u) == want).all() and sum(searched) < len(u) / 50
+    h = np.array([5, -3, 2**62])
+    assert (grove._paired(grove._seeded(h, 42), np.array([7])) == grove.uniform(h, np.array([7]), 42)).all()
+    assert grove.uniform(h, np.array([7]), 42).tolist() == pytest.approx([0.7760770557414848, 0.7923494540587485, 0.2711381388797335], abs=0)
